@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from skeinwork.io import load
 from skeinwork.llm.components import components, shared_key_edges
+from skeinwork.llm.neighbors import nearest, similar_pairs
 from skeinwork.llm.topn import top_n
 from skeinwork.llm.unify import same_look_pairs, unified
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64)
+    return pairs.select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
+
+
+def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64)
+
+
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each pair once with its highest score."""
     rows = load(spark, d, "movies_neighbors_k50", "movie_id", "neighbor_id", "score")
@@ -52,7 +62,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents", "doc_id", "text").select("doc_id", unified("text").alias("form"), unified("text", fold=True).alias("compare_key"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
     "p5_found": """
 SELECT 'movies_neighbors_k50' AS table_name, movie_id AS group_key, neighbor_id AS item_key FROM (
