@@ -7,11 +7,35 @@ from pyspark.sql import functions as F
 
 from skeinwork.io import load
 from skeinwork.llm.components import components, shared_key_edges
+from skeinwork.llm.linkage import described, genres, match, people
 from skeinwork.llm.neighbors import nearest, similar_pairs
 from skeinwork.llm.topn import top_n
 from skeinwork.llm.unify import same_look_pairs, unified
 
 
+def films(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return described(load(spark, d, "movies_master"), c("canonical_id"), c("title_norm"), c("year_norm"), c("runtime_minutes"), people(c("director_name")), genres(c("genres_norm"), r"\|"), c("original_language"))
+
+
+def tomatoes(spark: SparkSession, d: str) -> DataFrame:
+    """The year is that of the theatre release; a running time under 40 minutes is a damaged number."""
+    c = F.col
+    year = F.regexp_extract("releasedatetheaters", r"((?:18|19|20)\d\d)", 1).try_cast("int")
+    language = F.create_map(*[F.lit(x) for x in ("English", "en", "French", "fr", "German", "de", "Spanish", "es")])[c("originallanguage")]
+    return described(load(spark, d, "rt_movies"), c("id"), c("title"), year, F.when(c("runtimeminutes") >= 40, c("runtimeminutes")), people(c("director")), genres(c("genre"), ","), language)
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with a confidence of one half or more."""
+    found = match(films(spark, d), tomatoes(spark, d)).filter("probability >= 0.5")
+    return found.select(F.col("e").alias("canonical_id"), F.col("r").alias("rt_id"), F.round("probability", 6).alias("confidence"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("canonical_id", "rt_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = similar_pairs(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64)
     return pairs.select(F.col("a").alias("canonical_id_a"), F.col("b").alias("canonical_id_b"))
@@ -62,7 +86,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents", "doc_id", "text").select("doc_id", unified("text").alias("form"), unified("text", fold=True).alias("compare_key"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
     "p5_found": """
 SELECT 'movies_neighbors_k50' AS table_name, movie_id AS group_key, neighbor_id AS item_key FROM (
