@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from skeinwork.io import load
 from skeinwork.llm.components import components, shared_key_edges
 from skeinwork.llm.linkage import described, genres, match, people
+from skeinwork.llm.mixture import mix, share_report
 from skeinwork.llm.neighbors import nearest, similar_pairs
+from skeinwork.llm.packing import pack, packing_report
+from skeinwork.llm.tokens import token_counts
 from skeinwork.llm.topn import top_n
 from skeinwork.llm.unify import same_look_pairs, unified
+from skeinwork.session import cut
+
+CAPACITY = 2048
 
 
 def films(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +84,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components(shared_key_edges(title_links(spark, d), "number", "canonical_id")).select("group_id", F.col("member").alias("canonical_id"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), CAPACITY)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p8_packed(spark, d), CAPACITY)
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(token_counts(load(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"), "sized")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sized(spark, d), load(spark, d, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets = _sized(spark, d), load(spark, d, "source_targets")
+    return share_report(mix(sized, targets), sized, targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -86,7 +113,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents", "doc_id", "text").select("doc_id", unified("text").alias("form"), unified("text", fold=True).alias("compare_key"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
     "p5_found": """
 SELECT 'movies_neighbors_k50' AS table_name, movie_id AS group_key, neighbor_id AS item_key FROM (
