@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import pipeline
+from skeinwork.plans import pipeline, scalars
 
-MODULES = (pipeline,)
+MODULES = (pipeline, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
