@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import pipeline, scalars
+from skeinwork.plans import pipeline, relational, scalars
 
-MODULES = (pipeline, scalars)
+MODULES = (pipeline, scalars, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
