@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import pipeline, relational, scalars
+from skeinwork.plans import aggregation, pipeline, relational, scalars
 
-MODULES = (pipeline, scalars, relational)
+MODULES = (pipeline, scalars, relational, aggregation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
