@@ -88,11 +88,24 @@ def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 
 
-def tail_holdout(df: DataFrame, by: Sequence[str], order: Sequence[Column], part: int = 5) -> DataFrame:
-    """Adds `held_out`: the last max(1, n // part) rows of each key, `order` from last to first."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    return df.withColumn("held_out", F.row_number().over(w.orderBy(*order)) <= F.greatest(F.lit(1), F.floor(n / part)))
+def positions_by(df: DataFrame, by: Sequence[str], leading: str, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Row numbers within each key by `order`, which starts with the number `leading` descending, and `<name>_of` rows.
+
+    A key is numbered in ranges of `leading`, each shifted by the rows before it, so a key with a third of all rows is
+    spread over SPLITS tasks.
+    """
+    r = df.withColumn("__range", _ranges(df, leading))
+    n = r.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    down = Window.partitionBy(*by).orderBy(F.desc("__range"))
+    n = n.select(*by, "__range", (F.sum("__n").over(down) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*by)).alias(f"{name}_of"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
+    return r.withColumn("__in", inside).join(n, [*by, "__range"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__range", "__in", "__before")
+
+
+def tail_holdout(df: DataFrame, by: Sequence[str], leading: str, order: Sequence[Column], part: int = 5) -> DataFrame:
+    """Adds `held_out`: the last max(1, n // part) rows of each key; `order` runs from last to first (see positions_by)."""
+    p = positions_by(df, by, leading, order, "__p")
+    return p.withColumn("held_out", F.col("__p") <= F.greatest(F.lit(1), F.floor(F.col("__p_of") / part))).drop("__p", "__p_of")
 
 
 def supervised_windows(df: DataFrame, by: Sequence[str], order: Sequence[Column], features: Sequence[str], target: str, steps: int) -> DataFrame:

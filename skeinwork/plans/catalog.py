@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import aggregation, pipeline, relational, scalars
+from skeinwork.plans import aggregation, pipeline, relational, scalars, windows
 
-MODULES = (pipeline, scalars, relational, aggregation)
+MODULES = (pipeline, scalars, relational, aggregation, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
