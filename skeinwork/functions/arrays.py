@@ -44,7 +44,12 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """Of length 1; a vector without length stays as it is."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    lengths = F.array_repeat(F.when(n > 0, n).otherwise(1.0), F.size(a))  # once a row, not once an element
+    return F.zip_with(a, lengths, lambda x, y: x.cast("double") / y)
+
+
+def _times(weight: float):
+    return lambda x: x.cast("double") * weight
 
 
 def weighted_mean_vector(parts: Sequence[tuple[Column, float]], dims: int) -> Column:
@@ -53,5 +58,6 @@ def weighted_mean_vector(parts: Sequence[tuple[Column, float]], dims: int) -> Co
     zero = F.array_repeat(F.lit(0.0), dims)
     out = zero
     for c, w in parts:
-        out = F.zip_with(out, F.coalesce(c, zero), lambda s, x, w=w: s + w * x.cast("double"))
+        scaled = F.transform(F.coalesce(c, zero), _times(w))
+        out = F.zip_with(out, scaled, lambda s, x: s + x)
     return F.when(total > 0, F.transform(out, lambda x: x / total)).otherwise(zero)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import aggregation, pipeline, relational, scalars, windows
+from skeinwork.plans import aggregation, pipeline, recsys, relational, scalars, windows
 
-MODULES = (pipeline, scalars, relational, aggregation, windows)
+MODULES = (pipeline, scalars, relational, aggregation, windows, recsys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
