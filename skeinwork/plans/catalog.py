@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.plans import aggregation, monitoring, pipeline, recsys, relational, scalars, windows
+from skeinwork.plans import aggregation, ingestion, modelling, monitoring, pipeline, recsys, relational, scalars, windows
 
-MODULES = (pipeline, scalars, relational, aggregation, windows, recsys, monitoring)
+MODULES = (pipeline, scalars, relational, aggregation, windows, recsys, monitoring, modelling, ingestion)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
