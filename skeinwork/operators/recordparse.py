@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 
 class Broken(Exception):
-    def __init__(self, at: int, column: int):
-        self.at, self.column = at, column
+    def __init__(self, at: int, column: int, opened: int):
+        """opened: where the broken field begins; what follows may belong to other records."""
+        self.at, self.column, self.opened = at, column, opened
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ class Parser:
             out.end = self.fields(s, pos, out.fields)
         except Broken as e:
             out.reason, out.at, out.column = "quoting", e.at, e.column
-            out.end = self.resume(s, e.at)
+            out.end = self.resume(s, e.opened)
             return out
         if not self.whole and out.fields[-1].endswith("\r") and s[out.end - 1 : out.end] == "\r":
             out.fields[-1] = out.fields[-1][:-1]
@@ -84,18 +85,18 @@ class Parser:
             return self.quoted(s, pos, into)
         end = self.bare_re.match(s, pos).end()
         if self.g.quote and (at := s.find(self.g.quote, pos, end)) >= 0:
-            raise Broken(at, len(into))
+            raise Broken(at, len(into), pos)
         into.append(s[pos:end])
         return end
 
     def quoted(self, s: str, pos: int, into: list[str]) -> int:
         m = self.quoted_re.match(s, pos)
         if not m:
-            raise Broken(pos, len(into))
+            raise Broken(pos, len(into), pos)
         end = m.end()
         after = s[end : end + 1]
         if after and after != self.g.separator and (self.whole or not re.match(r"\r?(\n|$)", s[end : end + 2])):
-            raise Broken(end, len(into))
+            raise Broken(end, len(into), pos)
         into.append(m[1].replace(self.g.quote * 2, self.g.quote))
         if not self.whole and after == "\r":
             end += 1
