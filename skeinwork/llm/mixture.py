@@ -134,7 +134,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, familie
     shares, caps = {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}
     extra = sorted(families or {})
     small = docs.sparkSession.createDataFrame([(s, c) for s, c in sorted(caps.items())], "source string, cap int")
-    d = docs.filter("n_tokens > 0").join(F.broadcast(small), "source").select("doc_id", "source", *extra, F.col("n_tokens").cast("long"), "cap")
+    d = docs.filter("n_tokens > 0").select("doc_id", "source", *extra, F.col("n_tokens").cast("long").alias("n_tokens")).join(F.broadcast(small), "source").select("doc_id", "source", *extra, "n_tokens", "cap")
     cells = cut(d.groupBy("source", *extra, "cap").agg(F.sum("n_tokens").alias("tokens")).withColumn("base", F.lit(1.0)), "cells")
     wanted = feasible([(r["source"], r["t"]) for r in cells.groupBy("source").agg(F.sum("tokens").alias("t")).collect()], shares, caps, total)
     if not wanted:
