@@ -49,7 +49,7 @@ def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
                     ids.append(i)
                     vecs.append(raw)
                     digests.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
-            yield pd.DataFrame({"id": ids, "vec": vecs, "digest": digests})
+            yield pd.DataFrame({"id": ids, "vec": vecs, "digest": digests}, dtype=object)
 
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.size("v") == dims).mapInPandas(run, "id string, vec binary, digest string")
     return rows.groupBy("id").agg(F.min(F.struct("vec", "digest")).alias("m")).select("id", "m.vec", "m.digest")
@@ -127,12 +127,12 @@ def _assign(centroids: np.ndarray, dims: int, probes: int):
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
             c = centroids[near[:, 0]]
             code = encode(x, c, rot)
-            yield pdf.assign(cell=near[:, 0].astype(np.int32), probes=list(near.astype(np.int32)), bits=[b.tobytes() for b in code["bits"]], length=code["length"], fit=code["fit"], x_dot_c=(x * c).sum(1))
+            yield pdf.assign(cell=near[:, 0].astype(np.int32), probes=list(near.astype(np.int32)), probe_sims=list(np.take_along_axis(sims, near, 1)), bits=[b.tobytes() for b in code["bits"]], length=code["length"], fit=code["fit"], x_dot_c=(x * c).sum(1))
 
     return run
 
 
-def _search(centroids: np.ndarray, dims: int, k: int, floor: float):
+def _search(centroids: np.ndarray, dims: int, k: int):
     rot = rotation(dims)
 
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -143,16 +143,16 @@ def _search(centroids: np.ndarray, dims: int, k: int, floor: float):
             x, xd, names = unit(index["vec"], dims), index["x_dot_c"].to_numpy(), index["rep"].to_numpy()
             for at in range(0, len(queries), 512):
                 part = queries.iloc[at : at + 512]
-                q, own = unit(part["wanted"], dims), part["asker"].to_numpy()
+                q, own, least = unit(part["wanted"], dims), part["asker"].to_numpy(), part["least"].to_numpy()
                 about, error = estimate(code, xd, q, c, rot)
-                keep = about + error >= floor
+                keep = about + error >= least[:, None]
                 keep &= own[:, None] != names[None, :]
                 if len(index) > k:
                     lower = np.where(keep, about - error, -np.inf)
                     keep &= about + error >= np.partition(lower, len(index) - k, axis=1)[:, len(index) - k, None]
                 qi, xi = np.nonzero(keep)
                 sim = np.round(np.einsum("ij,ij->i", q[qi], x[xi]), 6)
-                good = sim >= floor
+                good = sim >= least[qi]
                 qi, xi, sim = qi[good], xi[good], sim[good]
                 order = np.lexsort((names[xi].astype(str), -sim, qi))
                 qi, xi, sim = qi[order], xi[order], sim[order]
@@ -161,12 +161,12 @@ def _search(centroids: np.ndarray, dims: int, k: int, floor: float):
                 out["q"] += list(own[qi[top]])
                 out["x"] += list(names[xi[top]])
                 out["sim"] += list(sim[top])
-        return pd.DataFrame(out).astype({"sim": "float64"})
+        return pd.DataFrame(out, dtype=object).astype({"sim": "float64"})
 
     return run
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, dims: int, k: int = 10, floor: float = -1.0, probes: int = 16, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, dims: int, k: int = 10, floor: float = -1.0, probes: int = 32, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, neighbor, sim): the k most similar other ids of every id with a usable vector, of at least `floor`.
 
     Similarity is the cosine rounded to 6 decimals; ties go to the smaller id. Unusable vectors take no part; equal
@@ -182,16 +182,30 @@ def nearest(vectors: DataFrame, key: str, vector: str, dims: int, k: int = 10, f
         return spark.createDataFrame([], "id string, neighbor string, sim double")
     sample = distinct.orderBy(F.xxhash64("rep")).limit(sample_rows).select("vec").toPandas()["vec"]
     centroids = fit_cells(unit(sample, dims), max(1, min(MAX_CELLS, len(sample), total // cell_rows)))
-    placed = cut(distinct.mapInPandas(_assign(centroids, dims, probes), "rep string, vec binary, cell int, probes array<int>, bits binary, length double, fit double, x_dot_c double"), "placed")
-    asked = placed.select(F.col("rep").alias("asker"), F.col("vec").alias("wanted"), F.explode("probes").alias("cell"))
-    # One row a cell, so at most MAX_CELLS rows, tell how many blocks each side of a cell has.
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nx")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nq")), "cell", "left").fillna(1, ["nq"])
-    blocks = cut(blocks, "blocks")
+    placed = cut(distinct.mapInPandas(_assign(centroids, dims, probes), "rep string, vec binary, cell int, probes array<int>, probe_sims array<double>, bits binary, length double, fit double, x_dot_c double"), "placed")
+    # One row a cell, so at most MAX_CELLS rows, tell its widest angle and how many blocks each side of it has.
+    cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nx"), F.min("x_dot_c").alias("edge"))
+    asks = placed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nq"))
+    cells = cut(cells.join(asks, "cell"), "cells")
     slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = placed.drop("probes").join(F.broadcast(blocks), "cell").withColumn("bx", slot("rep", "nx")).withColumn("bq", every("nq")).drop("nx", "nq")
-    asked = asked.join(F.broadcast(blocks), "cell").withColumn("bq", slot("asker", "nq")).withColumn("bx", every("nx")).select("asker", "wanted", F.col("cell").alias("probed"), "bq", "bx")
-    pairs = index.groupBy("cell", "bx", "bq").cogroup(asked.groupBy("probed", "bx", "bq")).applyInPandas(_search(centroids, dims, k, floor), "q string, x string, sim double")
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """(q, x, sim) of (asker, wanted, least, cell, q_dot_c): a query looks only into cells that can hold a vector of its
+        least similarity, whose angle to the query is at most the query's to the centroid less the cell's widest."""
+        can = angle(F.col("q_dot_c")) - angle(F.col("edge")) <= angle(F.col("least")) + 1e-6
+        a = asked.join(F.broadcast(cells), "cell").filter(can).withColumn("bq", slot("asker", "nq")).withColumn("bx", every("nx")).select("asker", "wanted", "least", F.col("cell").alias("probed"), "bq", "bx")
+        index = placed.drop("probes", "probe_sims").join(F.broadcast(cells), "cell").withColumn("bx", slot("rep", "nx")).withColumn("bq", every("nq")).drop("nx", "nq", "edge")
+        return index.groupBy("cell", "bx", "bq").cogroup(a.groupBy("probed", "bx", "bq")).applyInPandas(_search(centroids, dims, k), "q string, x string, sim double")
+
+    # The own cell first: its k-th best is the least that another cell must offer.
+    query = [F.col("rep").alias("asker"), F.col("vec").alias("wanted")]
+    home = cut(searched(placed.select(*query, F.lit(float(floor)).alias("least"), "cell", F.col("x_dot_c").alias("q_dot_c"))), "home")
+    kth = home.groupBy(F.col("q").alias("rep")).agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
+    others = placed.join(kth, "rep", "left").withColumn("p", F.explode(F.expr("slice(arrays_zip(probes, probe_sims), 2, size(probes))")))
+    others = others.select(*query, F.coalesce("kth", F.lit(float(floor))).alias("least"), F.col("p.probes").alias("cell"), F.col("p.probe_sims").alias("q_dot_c"))
+    pairs = home.unionByName(searched(others))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "x"))).filter(F.col("r") <= k).select("q", "x", "sim")
     own = copies.filter("n > 1").select(F.col("rep").alias("q"), F.col("rep").alias("x"), F.lit(1.0).alias("sim"))
     listed = best.unionByName(own).join(copies.select(F.col("rep").alias("x"), "ids"), "x").select("q", "sim", F.explode("ids").alias("neighbor"))

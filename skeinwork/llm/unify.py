@@ -79,7 +79,7 @@ def look_folded(text: str) -> str:
 def _vectorised(of):
     def run(values: pd.Series) -> pd.Series:
         distinct = {v: of(v) for v in values.unique() if v is not None and v == v}
-        return values.map(distinct)
+        return pd.Series([distinct.get(v) for v in values], index=values.index, dtype=object)
 
     return run
 
