@@ -43,7 +43,7 @@ def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 8
                         out["id"].append(names[i])
                         out["neighbor"].append(other[j])
                         out["score"].append(s[i, j])
-        return pd.DataFrame(out).astype({"score": "float64"})
+        return pd.DataFrame(out, dtype=object).astype({"score": "float64"})
 
     kind = dict(v.dtypes)["id"]
     part = left.groupBy("b", "c").cogroup(right.groupBy("rb", "rc")).applyInPandas(run, f"id {kind}, neighbor {kind}, score double")
