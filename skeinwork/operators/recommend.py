@@ -51,14 +51,29 @@ def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 8
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def factor_scores(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def factor_scores(users: DataFrame, items: DataFrame, k: int, most_items: int = 100_000) -> DataFrame:
     """(user, item, score, rank): the k items of highest inner product for each user. users (user, u), items (item, v).
 
-    Item factors go to every task as one array, so their number must be bounded by what a task can hold; the caller checks.
+    Up to `most_items` item factors go to every task as one array. More are cut into blocks of that many by hash, each block
+    is searched so, and the blocks' lists are merged: the same result, with one pass over the users a block.
     """
+    kinds = dict(users.dtypes) | dict(items.dtypes)
+    blocks = max(1, -(-items.count() // most_items))
+    parts = [_block_scores(users, items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), k, kinds) for b in range(blocks)]
+    if blocks == 1:
+        return parts[0]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _block_scores(users: DataFrame, items: DataFrame, k: int, kinds: dict[str, str]) -> DataFrame:
     table = items.orderBy("item").toPandas()
+    if not len(table):
+        return users.limit(0).selectExpr("user", f"cast(null as {kinds['item']}) as item", "cast(null as double) as score", "cast(null as int) as rank")
     matrix, names = np.stack(table["v"].to_numpy()).astype(np.float64), table["item"].to_numpy()
-    kinds = dict(users.dtypes) | dict(items.dtypes)
 
     def run(batches):
         for pdf in batches:

@@ -29,6 +29,14 @@ def s01_csv(spark, d):
     return files.read_csv(spark, at, _RT)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000 AND o_totalprice IS NOT NULL")
+def s05_first_rows(spark, d):
+    """The first thousand keys of a scan, as a filter that reaches the files and not as a cut of unordered rows."""
+    at = _at(spark, "orders")
+    load(spark, d, "orders", "o_orderkey", "o_totalprice").write.parquet(at)
+    return spark.read.parquet(at).filter("o_orderkey < 1000 and o_totalprice is not null")
+
+
 @query("SELECT 'n_' || n_nationkey AS key, n_name FROM nation")
 def s02_latin1(spark, d):
     """Another encoding, the separator sniffed."""

@@ -35,6 +35,14 @@ def l12_als(spark, d):
     return p.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
+@query()
+def l04_factor_scores(spark, d):
+    """The ten items of highest inner product for every user, users against all items in blocks."""
+    model = ml.factorise(_indexed(spark, d), rank=10, rounds=3)
+    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("u"))
+    return recommend.factor_scores(users, model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("v")), 10)
+
+
 @query()
 def l13_svd(spark, d):
     """The ten largest singular values of the ratings matrix."""

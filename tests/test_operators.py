@@ -221,3 +221,42 @@ def test_quality_gates(spark):
     a, b = quality.fingerprint(df), quality.fingerprint(df.orderBy(F.desc("s")).repartition(5))
     assert a.first() == b.first() != quality.fingerprint(df.limit(1)).first()
     assert isinstance(a.first(), Row)
+
+
+def test_factor_scores_in_blocks(spark):
+    users = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "user int, u array<float>")
+    items = spark.createDataFrame([(i, [float(i % 7), float(-i)]) for i in range(40)], "item int, v array<float>")
+    whole = sorted(map(tuple, recommend.factor_scores(users, items, 5).collect()))
+    assert whole == sorted(map(tuple, recommend.factor_scores(users, items, 5, most_items=6).collect())) and len(whole) == 25
+
+
+def test_npy_source(spark, tmp_path):
+    import numpy as np
+
+    from skeinwork.sources.files import NpySource
+
+    data = np.arange(30, dtype=np.float32).reshape(10, 3)
+    np.save(tmp_path / "a.npy", data)
+    spark.dataSource.register(NpySource)
+    got = spark.read.format("npy").option("rows", 4).load(str(tmp_path / "a.npy")).orderBy("row").collect()
+    assert [r.vector for r in got] == data.tolist()
+
+
+def test_sniffing_and_synonyms(spark, tmp_path):
+    from skeinwork.sources import files
+
+    (tmp_path / "x.csv").write_text("a;b;c,d\n1;2;3\n")
+    assert files.sniffed_separator(spark, str(tmp_path / "x.csv")) == ";"
+    df = spark.createDataFrame([(1, 2)], "HomeTeam int, fthg int")
+    assert relational.standard_names(df, {"home": ["hometeam"], "home_goals": ["FTHG", "hg"]}).columns == ["home", "home_goals"]
+
+
+def test_stream_equals_batch(spark):
+    from skeinwork.operators import telemetry
+    from skeinwork.streaming import telemetry as st
+
+    sf = "/root/testdata/sf0.001"
+    stream = st.run_to_end(st.session_stream(st.read_events(spark, sf), late="60 days"), "sessions", "complete")
+    batch = telemetry.sessions(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+    assert [st.next_state(s, True) for s in ("healthy", "watching", "degraded", "recovering")] == ["watching", "degraded", "rolling_back", "degraded"]
