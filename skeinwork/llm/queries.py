@@ -48,7 +48,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64)
+    """Without a floor more cells are searched, as far films have neighbours anywhere."""
+    return nearest(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64, probes=32)
 
 
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
