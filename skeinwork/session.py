@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +31,22 @@ def get_session(app: str = "skeinwork", cores: int | str = "*", partitions: int
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session, so that UDFs can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_skeinwork_shipped", False):
+        return
+    sc._skeinwork_shipped = True
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="skeinwork-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves it from there, also to executors that come later
+    archive = Path(folder) / "skeinwork.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 
