@@ -186,7 +186,7 @@ def pack(sizes: DataFrame, capacity: int, groups: int = GROUPS, small: float = S
     room: it has one row of size 0 and a null container. doc_id must be unique. An empty table gives no rows.
     """
     spark = sizes.sparkSession
-    sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("size"))
+    sizes = cut(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("size")), "sizes")
     pieces = sizes.filter("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / capacity).cast("int") - 1)))
     pieces = cut(pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).alias("n_tokens")), "pieces")
     lengths = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
