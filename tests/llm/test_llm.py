@@ -269,6 +269,8 @@ def test_newton_with_two_families(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", 5), (2, None, 5), (3, "", 5), (4, "<|endoftext|>", 5), (5, "a" * 200_000, 5), (1, "Hello world", 5)], "doc_id long, text string, n int")
     got = [(r.doc_id, r.n_tokens) for r in tokens.token_counts(df, "doc_id", "text").collect()]
+    again = tokens.token_counts(df, "doc_id", "text", tokenizer="/opt/tokenizers/byte_bpe_50k.json")
+    assert got == [(r.doc_id, r.n_tokens) for r in again.collect()]
     assert got[0] == got[5] == (1, 2) and got[1][1] == got[2][1] == 0 and got[3][1] > 1 and got[4][1] > 1000
 
 
