@@ -116,6 +116,10 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
+    "p3_found": """
+WITH v AS (SELECT canonical_id AS id, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS s FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p)
+SELECT DISTINCT least(a, b) AS canonical_id_a, greatest(a, b) AS canonical_id_b FROM r WHERE n <= 10 AND s >= 0.85""",
     "p5_found": """
 SELECT 'movies_neighbors_k50' AS table_name, movie_id AS group_key, neighbor_id AS item_key FROM (
   SELECT movie_id, neighbor_id, row_number() OVER (PARTITION BY movie_id ORDER BY s DESC, neighbor_id) AS r FROM (
