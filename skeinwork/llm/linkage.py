@@ -1,7 +1,7 @@
 """Matching entities across sources that share no key: evidence per candidate pair, then loopy belief propagation.
 
-Candidates agree on one of several block keys (title with director, year or running time; director with year, tolerant of
-one typing error). Every attribute adds to a pair's log odds. A factor of each record then allows it at most one entity, and
+Candidates agree on one of several block keys (the title; year with either end of the title; director with part of the
+title, genres or running time; director with year, tolerant of one typing error). Every attribute adds to a pair's log odds. A factor of each record then allows it at most one entity, and
 a factor of each entity makes further records of it less likely but possible; both send messages along the pairs, as joins
 on sums per node, until they settle. What results is each pair's marginal probability.
 """
@@ -85,24 +85,27 @@ def _near(value: str, by: int) -> Column:
 
 def _keys(wide: bool) -> Column:
     """Block keys of a record; `wide` for the side whose numbers are spread to neighbouring values."""
-    years, times = (_near("year", 1), _near("runtime", 2)) if wide else (F.when(F.col("year").isNotNull(), F.array("year")), F.when(F.col("runtime").isNotNull(), F.array("runtime")))
+    years, times = (_near("year", 1), _near("runtime", 3)) if wide else (F.when(F.col("year").isNotNull(), F.array("year")), F.when(F.col("runtime").isNotNull(), F.array("runtime")))
     names = F.transform(F.coalesce("people", F.array().cast("array<string>")), _surname)
     # One end of a title survives a typing error; longer titles have longer ends, and those about 12 letters both.
     ends_of = lambda n: F.array(F.concat(F.lit(f"<{n}"), F.substring("core", 1, n)), F.concat(F.lit(f">{n}"), F.substring("core", -n, n)))
     no_ends = F.array().cast("array<string>")
     ends = F.concat(F.when(F.length("core") <= 13, ends_of(5)).otherwise(no_ends), F.when(F.length("core") >= 12, ends_of(7)).otherwise(no_ends))
-    dated = F.flatten(F.transform(F.coalesce(years, F.array().cast("array<int>")), lambda y: F.transform(F.coalesce(times, F.array().cast("array<int>")), lambda t: F.concat_ws("|", y.cast("string"), t.cast("string")))))
+    # With a year even the shortest titles have ends apart from their middle.
+    dated = F.concat(ends, F.when(F.length("core") <= 9, ends_of(3)).otherwise(no_ends), F.when(F.length("core") <= 7, ends_of(2)).otherwise(no_ends))
+    # A pair that lacks a year on either side: that side's rows meet all of the other side's.
+    undated = lambda tag, those: F.when(those, F.transform(ends, lambda t: F.concat_ws("|", F.lit(tag), t))).otherwise(no_ends)
     shortened = F.flatten(F.transform(names, lambda s: F.concat(F.array(s), F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1))))))
     tagged = lambda tag, values, with_: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.concat_ws("|", F.lit(tag), with_, v.cast("string")))
     every = F.concat(
-        tagged("td", names, F.col("core")),
-        tagged("ty", years, F.col("core")),
-        tagged("tr", times, F.col("core")),
-        F.flatten(F.transform(dated, lambda x: F.transform(ends, lambda t: F.concat_ws("|", F.lit("yt"), x, t)))),
+        F.array(F.concat(F.lit("t|"), "core")),
+        F.flatten(F.transform(F.coalesce(years, F.array().cast("array<int>")), lambda y: F.transform(dated, lambda t: F.concat_ws("|", F.lit("ye"), y.cast("string"), t)))),
+        undated("ne", F.lit(True) if wide else F.col("year").isNull()),
+        undated("nr", F.col("year").isNull() if wide else F.lit(True)),
         tagged("dp", names, F.substring("core", 1, 5)),
         tagged("ds", names, F.substring("core", -4, 4)),
         tagged("dg", names, F.when(F.size("genres") > 0, F.to_json("genres"))),
-        F.flatten(F.transform(F.coalesce(_near("runtime", 3) if wide else times, F.array().cast("array<int>")), lambda t: F.transform(names, lambda s: F.concat_ws("|", F.lit("dr"), t.cast("string"), s)))),
+        F.flatten(F.transform(F.coalesce(times, F.array().cast("array<int>")), lambda t: F.transform(names, lambda s: F.concat_ws("|", F.lit("dr"), t.cast("string"), s)))),
         F.flatten(F.transform(F.coalesce(years, F.array().cast("array<int>")), lambda y: F.transform(F.filter(F.array_distinct(shortened), lambda s: F.length(s) >= 3), lambda s: F.concat_ws("|", F.lit("dy"), y.cast("string"), s)))),
     )
     return F.when(F.col("core").isNotNull(), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))

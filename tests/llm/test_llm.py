@@ -58,6 +58,12 @@ def test_match_repeats_and_blocks(spark):
     assert {(r.e, r.r) for r in few.collect()} >= {(f"f{i}", f"r{i}") for i in range(30)}
 
 
+def test_match_without_director_and_running_time(spark):
+    films = [record("f1", "copperhunterinrzierk", 2000, 116, None), record("f2", "crookedneedle", 2000, None, None), record("f3", "ironwinter", 1980, 100, None), record("f4", "lostink", 2003, 112, None), record("f5", "clevermountainfaithfultailor", None, None, None)]
+    rts = [record("r1", "copperhunterinrzierc", 2000, 113, None), record("r2", "crookednneedle", 2001, 115, None), record("r3", "ironwinter", 1982, 104, None), record("r4", "lsotink", 2003, 109, None), record("r5", "clevermountinfaithfultailor", 2004, 114, None)]
+    assert set(matched(spark, films, rts)) == {(f"f{i}", f"r{i}") for i in range(1, 6)}
+
+
 def exact_marginals(edges, repeat):
     """All sets of edges with one per record: weight exp(sum of odds) * product over entities of repeat ** -(n - 1)."""
     total, on = 0.0, defaultdict(float)
