@@ -1,8 +1,8 @@
 """Matching entities across sources that share no key: evidence per candidate pair, then loopy belief propagation.
 
-Candidates agree on one of several block keys (the title; year with either end of the title; director with part of the
-title, genres or running time; director with year, tolerant of one typing error). Every attribute adds to a pair's log odds. A factor of each record then allows it at most one entity, and
-a factor of each entity makes further records of it less likely but possible; both send messages along the pairs, as joins
+Candidates agree on one of several block keys (the title; either end of the title with the year, or alone where a year is
+missing; director with part of the title, genres or running time; director with year, tolerant of one typing error). Every
+attribute adds to a pair's log odds. A factor of each record then allows it at most one entity, and a factor of each entity makes further records of it less likely but possible; both send messages along the pairs, as joins
 on sums per node, until they settle. What results is each pair's marginal probability.
 """
 
@@ -21,8 +21,8 @@ _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 # What distributors add to the title of the same film.
 ADDED = ("directors cut", "uncut", "a love story", "the movie")
 ARTICLES = "the|a|an"
-#: A block with more pairs than this is split by further attributes.
-BLOCK_PAIRS = 20_000
+#: Rows of either side in a cell of a large block.
+CELL = 150
 # Log odds of each level of agreement.
 WEIGHTS = {
     "title": (0.0, -1.0, -2.5, -4.5, -9.0), "number": -6.0, "director": (7.0, 5.5, 4.0, -4.5), "year": (3.0, 1.0, -2.0, -5.0),
@@ -111,23 +111,30 @@ def _keys(wide: bool) -> Column:
     return F.when(F.col("core").isNotNull(), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(entities: DataFrame, records: DataFrame, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Distinct (e, r) that share a block key.
+def candidates(entities: DataFrame, records: DataFrame, block_pairs: int | None = None) -> DataFrame:
+    """Distinct (e, r) that share a block key, all of them.
 
-    In a block with too many pairs a pair must also agree on a surname, or on running time and genres; without either it
-    cannot reach even odds there, since its title tells it from none of the many others.
+    The pairs of a large block are a grid of cells of CELL by CELL rows, so that no task gets more than a cell of it at a
+    time. `block_pairs` is for callers who accept losses, and `match` is not one: in a block of more pairs, a pair must
+    then agree on a surname, or on running time and genres.
     """
     more = lambda c, wide: F.array_distinct(F.concat(F.transform(F.coalesce("people", F.array().cast("array<string>")), lambda n: F.concat_ws("|", c, F.lit("d"), _surname(n))), F.transform(F.coalesce(_near("runtime", 1) if wide else F.when(F.col("runtime").isNotNull(), F.array("runtime")), F.array().cast("array<int>")), lambda t: F.concat_ws("|", c, F.lit("t"), t.cast("string"), F.to_json("genres")))))
     e = entities.withColumn("block", F.explode(_keys(False)))
     r = records.withColumn("block", F.explode(_keys(True)))
     sizes = e.groupBy("block").agg(F.count("*").alias("ne")).join(r.groupBy("block").agg(F.count("*").alias("nr")), "block")
-    large = cut(sizes.filter(F.col("ne") * F.col("nr") > block_pairs).select("block"), "blocks")
-    left, right = e.select(F.col("key").alias("e"), "block"), r.select(F.col("key").alias("r"), "block")
-    if large.isEmpty():
-        return left.join(right, "block").select("e", "r").distinct()
-    small = left.join(large, "block", "left_anti").join(right.join(large, "block", "left_anti"), "block")
-    finer = lambda side, name, wide: side.join(large, "block").select(F.col("key").alias(name), F.explode(more(F.col("block"), wide)).alias("block"))
-    return small.select("e", "r").unionByName(finer(e, "e", False).join(finer(r, "r", True), "block").select("e", "r")).distinct()
+    if block_pairs is not None:
+        large = cut(sizes.filter(F.col("ne") * F.col("nr") > block_pairs).select("block"), "blocks")
+        finer = lambda side, wide: side.join(large, "block", "left_anti").unionByName(side.join(large, "block").withColumn("block", F.explode(more(F.col("block"), wide))))
+        return finer(e, False).select(F.col("key").alias("e"), "block").join(finer(r, True).select(F.col("key").alias("r"), "block"), "block").select("e", "r").distinct()
+    grid = cut(sizes.filter(F.col("ne") * F.col("nr") > CELL * CELL).select("block", F.ceil(F.col("ne") / CELL).alias("rows"), F.ceil(F.col("nr") / CELL).alias("columns")), "blocks")
+
+    def placed(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Each row in its one row (column) of its block's grid, and in every column (row) there."""
+        s = side.select(F.col("key").alias(name), "block").join(grid, "block", "left")
+        s = s.withColumn(f"at_{own}", F.pmod(F.xxhash64(name), F.coalesce(own, F.lit(1))))
+        return s.select(name, "block", f"at_{own}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1)).alias(f"at_{other}"))
+
+    return placed(e, "e", "rows", "columns").join(placed(r, "r", "columns", "rows"), ["block", "at_rows", "at_columns"]).select("e", "r").distinct()
 
 
 def _step(value: Column, at: tuple, weights: tuple) -> Column:
@@ -147,7 +154,8 @@ def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame) -> DataF
     p = pairs.join(e, pairs["e"] == e["e_key"]).join(r, pairs["r"] == r["r_key"])
     core = F.when(F.col("r_cut_off"), F.substring(F.col("e_core"), F.lit(1), F.length("r_core"))).otherwise(F.col("e_core"))
     away = F.levenshtein(core, F.col("r_core")) / F.greatest(F.length(core), F.length("r_core"))
-    title = _step(away, (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"]) - F.when(F.col("r_cut_off") & (F.length("e_core") > F.length("r_core")), 1.0).otherwise(0.0)
+    p = p.withColumn("away", away)  # a column of its own: each step of a level would compute the distance again
+    title = _step(F.col("away"), (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"]) - F.when(F.col("r_cut_off") & (F.length("e_core") > F.length("r_core")), 1.0).otherwise(0.0)
     number = F.when((F.col("e_number") != F.col("r_number")) & ~F.col("r_cut_off"), WEIGHTS["number"]).otherwise(0.0)
     first = lambda n: F.element_at(F.split(n, " "), 1)
 
@@ -158,7 +166,8 @@ def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame) -> DataF
         return F.when(a == b, 0).when(initial | (apart <= 1), 1).when(apart <= 2, 2).otherwise(3)
 
     levels = F.flatten(F.transform("e_people", lambda a: F.transform("r_people", lambda b: name_level(a, b))))
-    director = _step(F.when((F.size("e_people") > 0) & (F.size("r_people") > 0), F.array_min(levels)), (0, 1, 2), WEIGHTS["director"])
+    p = p.withColumn("level", F.when((F.size("e_people") > 0) & (F.size("r_people") > 0), F.array_min(levels)))
+    director = _step(F.col("level"), (0, 1, 2), WEIGHTS["director"])
     year = _step(F.abs(F.col("e_year") - F.col("r_year")), (0, 1, 2), WEIGHTS["year"])
     runtime = _step(F.abs(F.col("e_runtime") - F.col("r_runtime")), (1, 4, 8), WEIGHTS["runtime"])
     shared = F.size(F.array_intersect("e_genres", "r_genres")) / F.size(F.array_union("e_genres", "r_genres"))

@@ -64,6 +64,13 @@ def test_match_without_director_and_running_time(spark):
     assert set(matched(spark, films, rts)) == {(f"f{i}", f"r{i}") for i in range(1, 6)}
 
 
+def test_large_blocks_keep_every_pair(spark):
+    films = [record(f"f{i}", "same", 2000, 100, None) for i in range(400)] + [record(f"d{i}", f"film{i}", 1990, 90, "p quirk", genres=("war",)) for i in range(160)]
+    rts = [record(f"r{i}", "same", 2000, 103, None) for i in range(160)] + [record(f"s{i}", f"tape{i}", 1990, 99, "p quirrk", genres=("crime",)) for i in range(160)]
+    got = {(r.e, r.r) for r in linkage.candidates(spark.createDataFrame(films, FORM), spark.createDataFrame(rts, FORM)).collect()}
+    assert got == {(f"f{i}", f"r{j}") for i in range(400) for j in range(160)} | {(f"d{i}", f"s{j}") for i in range(160) for j in range(160)}
+
+
 def exact_marginals(edges, repeat):
     """All sets of edges with one per record: weight exp(sum of odds) * product over entities of repeat ** -(n - 1)."""
     total, on = 0.0, defaultdict(float)
