@@ -190,7 +190,7 @@ def captains(eleven: DataFrame, by: Sequence[str], confidence: str = "confidence
 
 
 def greedy_squad(players: DataFrame, by: Sequence[str], budget: float, quotas: dict[str, int], per_club: int = 3) -> DataFrame:
-    """Players by points for money, each taken if quota, club and budget (keeping the cheapest rest affordable) allow."""
+    """Players by points for money, each taken if quota, club and budget (keeping the cheapest rest affordable) allow; every player of a group is seen."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["points", "price", "player_id"], ascending=[False, True, True], kind="stable")
@@ -209,7 +209,7 @@ def greedy_squad(players: DataFrame, by: Sequence[str], budget: float, quotas: d
         return pdf.loc[chosen, [*by, "player_id", "position", "points", "price", "team_id"]]
 
     kinds = dict(players.dtypes)
-    return pool_for_squad(players, by).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]))
+    return players.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]))
 
 
 def scenarios(eleven: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -214,6 +214,12 @@ def test_best_squad_beats_brute_force():
     assert best is not None and sum(p[0] for p in got) == pytest.approx(best)
 
 
+def test_greedy_squad_sees_every_player(spark):
+    rows = [(1, i, i, "A", 50.0, 100.0 - i) for i in range(45)] + [(1, 100 + i, 100 + i, "A", 10.0, 50.0 - i) for i in range(20)] + [(1, 200 + i, 200 + i, "A", 1.0, 1.0) for i in range(12)]
+    players = spark.createDataFrame(rows, "g int, player_id int, team_id int, position string, price double, points double")
+    assert {r.player_id for r in sports.greedy_squad(players, ["g"], 20.0, {"A": 2}).collect()} == {100, 101}
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
