@@ -136,51 +136,54 @@ def l25_stratified_users(spark, d):
     return ml.stratified_sample(h, "stratum", "user_id", {"light": 0.2, "medium": 0.6, "heavy": 0.2}, 100).select("user_id", "stratum")
 
 
+WEEK = ["season", "gameweek"]
+
+
 def _players(spark, d):
-    """The panel's week 1 of every season: one squad problem a season."""
-    return panel(spark, d).filter("gameweek = 1 and xp is not null and team_id is not null").select("season", "player_id", "team_id", "position", F.round("price", 1).alias("price"), F.col("xp").alias("points"), "confidence")
+    """The whole panel: one squad problem a week of a season."""
+    return panel(spark, d).filter("xp is not null and team_id is not null").select(*WEEK, "player_id", "team_id", "position", F.round("price", 1).alias("price"), F.col("xp").alias("points"), "confidence")
 
 
 @query()
 def l29_best_squads(spark, d):
-    """The exact squad of each season's first week."""
-    return sports.squads(_players(spark, d), ["season"])
+    """The exact squad of each week."""
+    return sports.squads(_players(spark, d), WEEK)
 
 
 @query()
 def l30_greedy_squads(spark, d):
     """L30."""
-    return sports.greedy_squad(_players(spark, d), ["season"], 100.0, sports.QUOTAS)
+    return sports.greedy_squad(_players(spark, d), WEEK, 100.0, sports.QUOTAS)
 
 
 def _eleven(spark, d):
     p = _players(spark, d)
-    squad = cut(sports.greedy_squad(p, ["season"], 100.0, sports.QUOTAS), "squad").join(p.select("season", "player_id", "confidence"), ["season", "player_id"])
-    return sports.best_eleven(squad, ["season"])
+    squad = cut(sports.greedy_squad(p, WEEK, 100.0, sports.QUOTAS), "squad").join(p.select(*WEEK, "player_id", "confidence"), [*WEEK, "player_id"])
+    return sports.best_eleven(squad, WEEK)
 
 
 @query()
 def l31_elevens_and_captains(spark, d):
     """Over the greedy squads."""
-    return sports.captains(_eleven(spark, d), ["season"])
+    return sports.captains(_eleven(spark, d), WEEK)
 
 
 @query()
 def l35_scenarios(spark, d):
     """L35."""
-    return sports.scenarios(_eleven(spark, d), ["season"])
+    return sports.scenarios(_eleven(spark, d), WEEK)
 
 
 @query()
 def q15_squad_rules(spark, d):
     """Q15: the rules each squad of l29 and l30 must keep."""
-    a = sports.greedy_squad(_players(spark, d), ["season"], 100.0, sports.QUOTAS).withColumn("how", F.lit("greedy"))
-    b = sports.squads(_players(spark, d), ["season"]).withColumn("how", F.lit("exact"))
+    a = sports.greedy_squad(_players(spark, d), WEEK, 100.0, sports.QUOTAS).withColumn("how", F.lit("greedy"))
+    b = sports.squads(_players(spark, d), WEEK).withColumn("how", F.lit("exact"))
     s = a.unionByName(b)
-    clubs = s.groupBy("how", "season", "team_id").count().groupBy("how", "season").agg(F.max("count").alias("per_club"))
-    g = s.groupBy("how", "season").agg(F.count("*").alias("players"), F.round(F.sum("price"), 1).alias("cost"), F.sum("points").alias("points"), *[F.count_if(F.col("position") == p).alias(p.lower()) for p in sports.QUOTAS])
+    clubs = s.groupBy("how", *WEEK, "team_id").count().groupBy("how", *WEEK).agg(F.max("count").alias("per_club"))
+    g = s.groupBy("how", *WEEK).agg(F.count("*").alias("players"), F.round(F.sum("price"), 1).alias("cost"), F.sum("points").alias("points"), *[F.count_if(F.col("position") == p).alias(p.lower()) for p in sports.QUOTAS])
     ok = (F.col("players") == 15) & (F.col("cost") <= 100) & (F.col("per_club") <= 3) & (F.col("gkp") == 2) & (F.col("def") == 5) & (F.col("mid") == 5) & (F.col("fwd") == 3)
-    return g.join(clubs, ["how", "season"]).withColumn("valid", ok)
+    return g.join(clubs, ["how", *WEEK]).withColumn("valid", ok)
 
 
 _FIXTURES = f"(SELECT match_id, home, away, 0.3 + 0.3 * (home % 10) / 9.0 AS p_home, 0.25 AS p_draw FROM {MATCHES_SQL} WHERE year(day) = 2000)"

@@ -220,6 +220,16 @@ def test_greedy_squad_sees_every_player(spark):
     assert {r.player_id for r in sports.greedy_squad(players, ["g"], 20.0, {"A": 2}).collect()} == {100, 101}
 
 
+def test_squads_of_every_week(spark):
+    from skeinwork.plans import modelling
+
+    sf = "/root/testdata/sf0.001"
+    weeks = {tuple(r) for r in modelling._players(spark, sf).select("season", "gameweek").distinct().collect()}
+    panel_weeks = {tuple(r) for r in spark.read.parquet(f"{sf}/fpl_merged.parquet").filter("xp is not null and team_id is not null").select("season", "gameweek").distinct().collect()}
+    assert weeks == panel_weeks and len({w for _, w in weeks}) > 1
+    assert {(r.season, r.gameweek) for r in modelling.l30_greedy_squads(spark, sf).collect()} <= weeks
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
