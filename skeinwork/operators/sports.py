@@ -212,15 +212,43 @@ def greedy_squad(players: DataFrame, by: Sequence[str], budget: float, quotas: d
     return players.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]))
 
 
-def scenarios(eleven: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, scenario, points): as it is, the best player absent, low minutes, congestion, captain tripled, bench counted."""
-    w = Window.partitionBy(*by).orderBy(F.desc("points"), "player_id")
-    e = eleven.withColumn("__r", F.row_number().over(w))
-    p, top = F.col("points"), F.col("__r") == 1
-    total = e.groupBy(*by).agg(
-        F.sum(p).alias("baseline"), F.sum(F.when(top, 0.0).otherwise(p)).alias("absence"), F.sum(F.when(F.col("__r") <= 3, p * 0.5).otherwise(p)).alias("low_minutes"),
-        F.sum(p * 0.9).alias("congestion"), F.sum(F.when(top, p * 3).otherwise(p)).alias("triple_captain"), F.sum(p * F.lit(1.15)).alias("bench_boost"),
-    )
-    names = ("baseline", "absence", "low_minutes", "congestion", "triple_captain", "bench_boost")
-    return total.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(n).alias("points")) for n in names])).alias("s")).select(*by, "s.*")
+def scenarios(squad: DataFrame, by: Sequence[str], week: str) -> DataFrame:
+    """(by, week, scenario, eleven, bench, captain_bonus, points) of whole squads, one a week.
+
+    baseline: as it is. absence: the best of the eleven is replaced by the best of the bench in the same position, if any;
+    the vice leads if it was the captain. low_minutes: the three best have half their points, and congestion: all lose a
+    tenth, before the eleven is chosen. triple_captain and bench_boost: one row a `by`, in the week in which the captain
+    (the bench) is worth most, the earliest of equals. points: the eleven with the captain's bonus; with the bench if boosted.
 
+    squad: by, week, player_id, position, points, confidence.
+    """
+    keys = [*by, week]
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("points"), "player_id"))
+    s = squad.select(*keys, "player_id", "position", "points", "confidence").withColumn("__b", best)
+    changed = (("baseline", F.col("points")), ("low_minutes", F.when(F.col("__b") <= 3, F.col("points") * 0.5).otherwise(F.col("points"))), ("congestion", F.col("points") * 0.9))
+    s = s.withColumn("__x", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), p.alias("points")) for n, p in changed]))).drop("points", "__b").select("*", "__x.*").drop("__x")
+    each = [*keys, "scenario"]
+    roles = captains(best_eleven(s, each), each).select(*each, "player_id", "role")
+    s = s.join(roles, [*each, "player_id"], "left")
+    starts, zero = F.col("role").isNotNull(), F.lit(0.0)
+    place = F.row_number().over(Window.partitionBy(*each, starts).orderBy(F.desc("points"), "player_id"))
+    s = s.withColumn("__first", starts & (place == 1))
+    s = s.withColumn("__gone", F.max(F.when(F.col("__first"), F.col("position"))).over(Window.partitionBy(*each)))
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("points"))), zero)
+    totals = s.groupBy(*each).agg(
+        of(starts).alias("eleven"), of(~starts).alias("bench"), of(F.col("role") == "captain").alias("captain_bonus"), of(F.col("__first")).alias("__lost"),
+        F.coalesce(F.max(F.when(~starts & (F.col("position") == F.col("__gone")), F.col("points"))), zero).alias("__in"),
+        F.max(F.coalesce(F.col("__first") & (F.col("role") == "captain"), F.lit(False))).alias("__led"), of(F.col("role") == "vice").alias("__vice"),
+    )
+    columns = [*each, "eleven", "bench", "captain_bonus"]
+    base = totals.filter("scenario = 'baseline'")
+    absent = base.select(*keys, F.lit("absence").alias("scenario"), (F.col("eleven") - F.col("__lost") + F.col("__in")).alias("eleven"), (F.col("bench") - F.col("__in")).alias("bench"), F.when(F.col("__led"), F.col("__vice")).otherwise(F.col("captain_bonus")).alias("captain_bonus"))
+
+    def in_best_week(name: str, value: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), week))
+        return base.withColumn("__w", rank).filter("__w = 1").withColumn("scenario", F.lit(name)).select(*columns)
+
+    tripled = in_best_week("triple_captain", "captain_bonus").withColumn("captain_bonus", F.col("captain_bonus") * 2)
+    boosted = in_best_week("bench_boost", "bench").withColumn("eleven", F.col("eleven") + F.col("bench")).withColumn("bench", zero)
+    out = totals.select(*columns).unionByName(absent).unionByName(tripled).unionByName(boosted)
+    return out.withColumn("points", F.col("eleven") + F.col("captain_bonus"))

@@ -156,22 +156,21 @@ def l30_greedy_squads(spark, d):
     return sports.greedy_squad(_players(spark, d), WEEK, 100.0, sports.QUOTAS)
 
 
-def _eleven(spark, d):
+def _squad(spark, d):
     p = _players(spark, d)
-    squad = cut(sports.greedy_squad(p, WEEK, 100.0, sports.QUOTAS), "squad").join(p.select(*WEEK, "player_id", "confidence"), [*WEEK, "player_id"])
-    return sports.best_eleven(squad, WEEK)
+    return cut(sports.greedy_squad(p, WEEK, 100.0, sports.QUOTAS), "squad").join(p.select(*WEEK, "player_id", "confidence"), [*WEEK, "player_id"])
 
 
 @query()
 def l31_elevens_and_captains(spark, d):
     """Over the greedy squads."""
-    return sports.captains(_eleven(spark, d), WEEK)
+    return sports.captains(sports.best_eleven(_squad(spark, d), WEEK), WEEK)
 
 
 @query()
 def l35_scenarios(spark, d):
-    """L35."""
-    return sports.scenarios(_eleven(spark, d), WEEK)
+    """Over the greedy squads."""
+    return sports.scenarios(_squad(spark, d), ["season"], "gameweek")
 
 
 @query()

@@ -230,6 +230,20 @@ def test_squads_of_every_week(spark):
     assert {(r.season, r.gameweek) for r in modelling.l30_greedy_squads(spark, sf).collect()} <= weeks
 
 
+def test_scenarios_use_the_bench(spark):
+    points = {"GKP": (5.0, 1.0), "DEF": (6.0, 5.0, 4.0, 3.0, 2.0), "MID": (9.0, 8.0, 7.0, 6.0, 5.0), "FWD": (4.0, 3.0, 1.0)}
+    rows = [("s", week, i * 10 + k, pos, p + (week == 2) * (pos == "GKP" and k == 1) * 3.0, 1.0) for week in (1, 2) for i, (pos, all_) in enumerate(points.items()) for k, p in enumerate(all_)]
+    squad = spark.createDataFrame(rows, "season string, gameweek int, player_id int, position string, points double, confidence double")
+    got = {(r.scenario, r.gameweek): (r.eleven, r.bench, r.captain_bonus, r.points) for r in sports.scenarios(squad, ["season"], "gameweek").collect()}
+    # 3-5-2: 5 + 15 + 35 + 7 play, 1 + 3 + 2 + 1 sit; without the best midfielder no other one is left.
+    assert got["baseline", 1] == (62, 7, 9, 71) and got["absence", 1] == (53, 7, 8, 61)
+    assert got["triple_captain", 1] == (62, 7, 18, 80) and got["bench_boost", 2] == (72, 0, 9, 81)
+    assert got["congestion", 1] == pytest.approx((55.8, 6.3, 8.1, 63.9)) and len(got) == 10
+    more = squad.withColumn("points", F.when(F.col("player_id") == 10, 20.0).otherwise(F.col("points")))
+    got = {(r.scenario, r.gameweek): (r.eleven, r.bench, r.captain_bonus) for r in sports.scenarios(more, ["season"], "gameweek").collect()}
+    assert got["baseline", 1] == (76, 7, 20) and got["absence", 1] == (59, 4, 9)
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
