@@ -58,26 +58,31 @@ def uniform(*keys: Column) -> Column:
     return bucket_of(F.concat_ws(":", *[k.cast("string") for k in keys]), 1_000_000) / 1e6
 
 
-def simulate_season(fixtures: DataFrame, runs: int) -> DataFrame:
-    """(run, team, points) over all runs: each fixture is drawn from (p_home, p_draw) by its hash.
+def simulate_season(fixtures: DataFrame, runs: int, by: Sequence[str] = (), task_runs: int = 100) -> DataFrame:
+    """(by, run, team, points) over all runs: each fixture is drawn from (p_home, p_draw) by its hash.
 
-    Fixtures times runs is the work asked for; points are summed before the shuffle.
+    Fixtures times runs is the work asked for; points are summed before the shuffle. Many runs are spread over tasks, each
+    with about `task_runs` of them, so that a task's sums fit its memory.
     """
-    r = fixtures.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    if runs > task_runs:
+        r = fixtures.withColumn("__from", F.explode(F.sequence(F.lit(1), F.lit(runs), F.lit(task_runs)))).repartition(-(-runs // task_runs), "__from")
+        r = r.withColumn("run", F.explode(F.sequence("__from", F.least(F.col("__from") + (task_runs - 1), F.lit(runs))))).drop("__from")
+    else:
+        r = fixtures.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     u = uniform(F.col("run"), F.col("match_id"))
     r = r.withColumn("u", u)
     home = F.when(F.col("u") < F.col("p_home"), 3).when(F.col("u") < F.col("p_home") + F.col("p_draw"), 1).otherwise(0)
     away = F.when(F.col("u") < F.col("p_home"), 0).when(F.col("u") < F.col("p_home") + F.col("p_draw"), 1).otherwise(3)
-    both = r.select("run", F.explode(F.array(F.struct(F.col("home").alias("team"), home.alias("p")), F.struct(F.col("away").alias("team"), away.alias("p")))).alias("x"))
-    return both.groupBy("run", "x.team").agg(F.sum("x.p").alias("points"))
+    both = r.select(*by, "run", F.explode(F.array(F.struct(F.col("home").alias("team"), home.alias("p")), F.struct(F.col("away").alias("team"), away.alias("p")))).alias("x"))
+    return both.groupBy(*by, "run", "x.team").agg(F.sum("x.p").alias("points"))
 
 
-def simulation_summary(table: DataFrame, top: int = 4) -> DataFrame:
-    """(team, expected_points, p_title, p_top, usual_place); equal points are placed by team."""
-    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("points"), "team"))
+def simulation_summary(table: DataFrame, top: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """(by, team, expected_points, p_title, p_top, usual_place); equal points are placed by team."""
+    place = F.row_number().over(Window.partitionBy(*by, "run").orderBy(F.desc("points"), "team"))
     t = table.withColumn("place", place)
     runs = F.count("*")
-    return t.groupBy("team").agg(F.avg("points").alias("expected_points"), (F.count_if(F.col("place") == 1) / runs).alias("p_title"), (F.count_if(F.col("place") <= top) / runs).alias("p_top"), F.mode("place", True).alias("usual_place"))
+    return t.groupBy(*by, "team").agg(F.avg("points").alias("expected_points"), (F.count_if(F.col("place") == 1) / runs).alias("p_title"), (F.count_if(F.col("place") <= top) / runs).alias("p_top"), F.mode("place", True).alias("usual_place"))
 
 
 QUOTAS = {"GKP": 2, "DEF": 5, "MID": 5, "FWD": 3}

@@ -209,4 +209,24 @@ def l34_simulation_summary(spark, d):
     return s.withColumns({c: F.round(c, 6) for c in ("expected_points", "p_title", "p_top")})
 
 
+RUNS = 10_000
+
+
+def _all_seasons(spark, d, runs=RUNS):
+    f = matches(spark, d).select(F.year("day").alias("season"), "match_id", "home", "away", (0.3 + 0.3 * (F.col("home") % 10) / 9.0).alias("p_home"), F.lit(0.25).alias("p_draw"))
+    return sports.simulate_season(f, runs, ["season"])
+
+
+@query()
+def l33_all_seasons(spark, d):
+    """Ten thousand runs of every season; `l33_simulated_seasons` is the small case that SQL can check."""
+    return _all_seasons(spark, d)
+
+
+@query()
+def l34_all_seasons_summary(spark, d):
+    """Over `l33_all_seasons`."""
+    return sports.simulation_summary(_all_seasons(spark, d), by=["season"])
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -244,6 +244,18 @@ def test_scenarios_use_the_bench(spark):
     assert got["baseline", 1] == (76, 7, 20) and got["absence", 1] == (59, 4, 9)
 
 
+def test_every_season_is_simulated(spark):
+    from skeinwork.plans import modelling
+
+    sf = "/root/testdata/sf0.001"
+    whole = modelling._all_seasons(spark, sf, 120)
+    seasons = {r[0] for r in modelling.matches(spark, sf).select(F.year("day")).distinct().collect()}
+    assert {r[0] for r in whole.select("season").distinct().collect()} == seasons and len(seasons) > 1
+    assert whole.agg(F.countDistinct("run"), F.min("run"), F.max("run")).first() == (120, 1, 120)
+    few = sorted(map(tuple, whole.filter("season = 2000 and run <= 20").select("run", "team", "points").collect()))
+    assert few == sorted(map(tuple, modelling.l33_simulated_seasons(spark, sf).collect())) and modelling.RUNS == 10_000
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
