@@ -105,7 +105,7 @@ def l14_matrix_indices(spark, d):
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS l FROM v) SELECT vec_id, round((x[1] / l + CASE WHEN vec_id % 2 = 0 THEN 0.5 * x[2] ELSE 0 END) / (1 + CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 0 END), 6) AS first, round(list_sum(list_transform(x, lambda y: y / l)) , 5) AS total FROM n""")
 def l15_weighted_vectors(spark, d):
-    """The unit vector and, where there is one, a shifted second vector."""
+    """The unit vector and, where there is one, a shifted second vector."""
     e = load(spark, d, "embeddings")
     x = F.transform("embedding", lambda v: v.cast("double"))
     shifted = F.when(F.col("vec_id") % 2 == 0, F.concat(F.slice(x, 2, 63), F.slice(x, 1, 1)))
