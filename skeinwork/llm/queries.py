@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skeinwork.io import load
 from skeinwork.llm.components import components, shared_key_edges
@@ -17,6 +18,7 @@ from skeinwork.llm.unify import same_look_pairs, unified
 from skeinwork.session import cut
 
 CAPACITY = 2048
+LANGUAGES = ("en", "fr", "de", "es")
 
 
 def films(spark: SparkSession, d: str) -> DataFrame:
@@ -94,16 +96,32 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return cut(token_counts(load(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"), "sized")
+    return cut(token_counts(load(spark, d, "documents", "doc_id", "text", "source", "lang"), "doc_id", "text", "source", "lang"), "sized")
+
+
+def _mixed(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Sources at their target shares, the languages as they are in the documents of those sources."""
+    spoken = sized.join(F.broadcast(targets.select("source")), "source").filter(F.col("lang").isin(*LANGUAGES)).groupBy("lang").agg(F.sum("n_tokens").alias("t")).collect()
+    every = sum(r["t"] for r in spoken)
+    return mix(sized, targets, families={"lang": {r["lang"]: r["t"] / every for r in spoken if r["t"]}})
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_sized(spark, d), load(spark, d, "source_targets"))
+    return _mixed(_sized(spark, d), load(spark, d, "source_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     sized, targets = _sized(spark, d), load(spark, d, "source_targets")
-    return share_report(mix(sized, targets), sized, targets)
+    return share_report(_mixed(sized, targets), sized, targets)
+
+
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture, by source: no document beyond its cap, and the share that can be reached is met to
+    within a document."""
+    shares = p9_shares(spark, d)
+    shares = shares.withColumn("all", F.sum("tokens_used").over(Window.partitionBy()))  # one row a target source
+    met = F.col("tokens_used") + F.col("longest_there") >= F.col("reachable_share") * F.col("all")
+    return shares.select("source", "target_share", "max_repeats", "docs_there", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), met.alias("share_met"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +132,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents", "doc_id", "text").select("doc_id", unified("text").alias("form"), unified("text", fold=True).alias("compare_key"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
     "p3_found": """
 WITH v AS (SELECT canonical_id AS id, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 GROUP BY 1),
@@ -134,4 +152,7 @@ WITH RECURSIVE t AS (SELECT DISTINCT ltrim(regexp_extract(tconst, '[0-9]+'), '0'
 e AS (SELECT DISTINCT a.c AS u, b.c AS v FROM t a JOIN t b USING (k) WHERE a.c <> b.c),
 r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT least(u, min(v)) AS group_id, u AS canonical_id FROM r GROUP BY u""",
+    "p9_rules": """
+SELECT t.source, target_share, max_repeats, count(d.doc_id) FILTER (text <> '') AS docs_there, true AS within_cap, true AS share_met
+FROM source_targets t LEFT JOIN documents d USING (source) GROUP BY ALL""",
 }

@@ -262,11 +262,35 @@ def test_mixture(spark):
     want = mixture.feasible([(s, sum(x[2] or 0 for x in docs if x[1] == s)) for s in "abc"], {s: w for s, w, _ in TARGETS}, caps, None)
     for s in "abc":
         assert abs(used[s] - want[s]) <= 60, (s, used[s], want[s])
+    more = mixed(spark, docs, families={"lang": {"en": 0.3, "fr": 0.7}})[0].collect()
+    by = lambda f: {k: sum(r.copies * r.n_tokens for r in more if f(r) == k) for k in {f(r) for r in more}}
+    assert by(lambda r: r.source) == pytest.approx(want, abs=60)
+    lang = {x[0]: x[3] for x in docs}
+    assert by(lambda r: lang[r.doc_id])["fr"] / sum(want.values()) == pytest.approx(0.7, abs=0.05)
     report = {r.source: r for r in mixture.share_report(m, d, t).collect()}
     assert report["gone"].actual_share == 0 and sum(r.actual_share for r in report.values()) == pytest.approx(1)
     assert mixed(spark, [])[0].count() == 0
 
 
+def test_size_of_a_mixture_follows_the_corpus():
+    shares, caps = {"big": 0.5, "mid": 0.48, "tiny": 0.02}, {"big": 1, "mid": 2, "tiny": 8}
+    cells = [("big", 10_000), ("mid", 8_000), ("tiny", 1)]
+    exact = mixture.feasible(cells, shares, caps, None, 0.0)
+    assert sum(exact.values()) == pytest.approx(400) and exact["big"] == pytest.approx(200)
+    most = mixture.feasible(cells, shares, caps, None)
+    assert most["tiny"] == 8 and most["big"] == pytest.approx(10_000) and most["mid"] <= 16_000
+    lacking = sum(max(0.0, shares[s] * sum(most.values()) - most[s]) for s in most)
+    assert lacking <= 0.05 * sum(most.values()) * 1.0001
+    assert sum(mixture.feasible(cells, shares, caps, 1000.0).values()) == pytest.approx(1000)
+    assert mixture.feasible([], shares, caps, None) == {} and mixture.feasible([("big", 5)], shares, caps, None) == {"big": 5.0}
+
+
+def test_newton_fails_loudly(spark):
+    cells = spark.createDataFrame([("a", "en", 1, 100.0, 1.0)], "source string, lang string, cap int, tokens double, base double")
+    with pytest.raises(RuntimeError):
+        mixture.newton(cells, ["source"], {("source", "a"): 500.0}, max_rounds=5)
+
+
 def test_newton_with_two_families(spark):
     cells = spark.createDataFrame([("a", "en", 9, 100.0, 1.0), ("a", "fr", 9, 300.0, 1.0), ("b", "en", 9, 200.0, 1.0), ("b", "fr", 9, 100.0, 1.0)], "source string, lang string, cap int, tokens double, base double")
     goal = {("source", "a"): 200.0, ("source", "b"): 200.0, ("lang", "en"): 250.0, ("lang", "fr"): 150.0}
