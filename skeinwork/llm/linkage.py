@@ -21,8 +21,10 @@ _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 # What distributors add to the title of the same film.
 ADDED = ("directors cut", "uncut", "a love story", "the movie")
 ARTICLES = "the|a|an"
-#: Rows of either side in a cell of a large block.
-CELL = 150
+#: Entities of a block in one slot.
+SLOT_ROWS = 500
+#: Log odds below which a pair takes no part: messages only ever lower odds, so it cannot come out, and moves others little.
+FLOOR = -4.0
 # Log odds of each level of agreement.
 WEIGHTS = {
     "title": (0.0, -1.0, -2.5, -4.5, -9.0), "number": -6.0, "director": (7.0, 5.5, 4.0, -4.5), "year": (3.0, 1.0, -2.0, -5.0),
@@ -84,57 +86,110 @@ def _near(value: str, by: int) -> Column:
 
 
 def _keys(wide: bool) -> Column:
-    """Block keys of a record; `wide` for the side whose numbers are spread to neighbouring values."""
+    """Block keys of a record, hashed; `wide` for the side whose numbers are spread to neighbouring values.
+
+    Two keys of one hash make a block of more pairs, never of fewer.
+    """
+    no_ends = F.array().cast("array<string>")
     years, times = (_near("year", 1), _near("runtime", 3)) if wide else (F.when(F.col("year").isNotNull(), F.array("year")), F.when(F.col("runtime").isNotNull(), F.array("runtime")))
-    names = F.transform(F.coalesce("people", F.array().cast("array<string>")), _surname)
+    names = F.array_distinct(F.transform(F.coalesce("people", no_ends), _surname))
     # One end of a title survives a typing error; longer titles have longer ends, and those about 12 letters both.
     ends_of = lambda n: F.array(F.concat(F.lit(f"<{n}"), F.substring("core", 1, n)), F.concat(F.lit(f">{n}"), F.substring("core", -n, n)))
-    no_ends = F.array().cast("array<string>")
     ends = F.concat(F.when(F.length("core") <= 13, ends_of(5)).otherwise(no_ends), F.when(F.length("core") >= 12, ends_of(7)).otherwise(no_ends))
     # With a year even the shortest titles have ends apart from their middle.
     dated = F.concat(ends, F.when(F.length("core") <= 9, ends_of(3)).otherwise(no_ends), F.when(F.length("core") <= 7, ends_of(2)).otherwise(no_ends))
     # A pair that lacks a year on either side: that side's rows meet all of the other side's.
     undated = lambda tag, those: F.when(those, F.transform(ends, lambda t: F.concat_ws("|", F.lit(tag), t))).otherwise(no_ends)
-    shortened = F.flatten(F.transform(names, lambda s: F.concat(F.array(s), F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1))))))
-    tagged = lambda tag, values, with_: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.concat_ws("|", F.lit(tag), with_, v.cast("string")))
+    # And one end of a surname; short ones have short ends.
+    name_ends = F.flatten(F.transform(names, _surname_ends))
+    tagged = lambda tag, values, with_: F.transform(F.coalesce(values, no_ends), lambda v: F.concat_ws("|", F.lit(tag), with_, v.cast("string")))
+    each = lambda tag, numbers, texts: F.flatten(F.transform(F.coalesce(numbers, F.array().cast("array<int>")), lambda y: F.transform(texts, lambda t: F.concat_ws("|", F.lit(tag), y.cast("string"), t))))
     every = F.concat(
         F.array(F.concat(F.lit("t|"), "core")),
-        F.flatten(F.transform(F.coalesce(years, F.array().cast("array<int>")), lambda y: F.transform(dated, lambda t: F.concat_ws("|", F.lit("ye"), y.cast("string"), t)))),
+        each("ye", years, dated),
         undated("ne", F.lit(True) if wide else F.col("year").isNull()),
         undated("nr", F.col("year").isNull() if wide else F.lit(True)),
         tagged("dp", names, F.substring("core", 1, 5)),
         tagged("ds", names, F.substring("core", -4, 4)),
         tagged("dg", names, F.when(F.size("genres") > 0, F.to_json("genres"))),
-        F.flatten(F.transform(F.coalesce(times, F.array().cast("array<int>")), lambda t: F.transform(names, lambda s: F.concat_ws("|", F.lit("dr"), t.cast("string"), s)))),
-        F.flatten(F.transform(F.coalesce(years, F.array().cast("array<int>")), lambda y: F.transform(F.filter(F.array_distinct(shortened), lambda s: F.length(s) >= 3), lambda s: F.concat_ws("|", F.lit("dy"), y.cast("string"), s)))),
+        each("dr", times, names),
+        each("dy", years, name_ends),
     )
-    return F.when(F.col("core").isNotNull(), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    hashed = F.array_distinct(F.transform(every, lambda k: F.xxhash64(k)))
+    return F.when(F.col("core").isNotNull(), hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def candidates(entities: DataFrame, records: DataFrame, block_pairs: int | None = None) -> DataFrame:
-    """Distinct (e, r) that share a block key, all of them.
+def _surname_ends(s: Column) -> Column:
+    """Both ends of a surname, one of which survives a typing error."""
+    n = F.when(F.length(s) <= 6, 2).otherwise(3)
+    return F.array(F.concat(F.lit("<"), F.substr(s, F.lit(1), n)), F.concat(F.lit(">"), F.substr(s, F.greatest(F.length(s) - n + 1, F.lit(1)), n)))
+
+
+def _bit(of: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(of, F.lit(64)).cast("int"))
+
+
+def _letters(c: Column) -> Column:
+    """A bit for every letter that occurs. An edit changes two bits at most, so texts d edits apart differ in 2 d bits."""
+    bits = F.transform(F.split(c, ""), lambda x: _bit(F.ascii(x)))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    The pairs of a large block are a grid of cells of CELL by CELL rows, so that no task gets more than a cell of it at a
-    time. `block_pairs` is for callers who accept losses, and `match` is not one: in a block of more pairs, a pair must
-    then agree on a surname, or on running time and genres.
-    """
-    more = lambda c, wide: F.array_distinct(F.concat(F.transform(F.coalesce("people", F.array().cast("array<string>")), lambda n: F.concat_ws("|", c, F.lit("d"), _surname(n))), F.transform(F.coalesce(_near("runtime", 1) if wide else F.when(F.col("runtime").isNotNull(), F.array("runtime")), F.array().cast("array<int>")), lambda t: F.concat_ws("|", c, F.lit("t"), t.cast("string"), F.to_json("genres")))))
-    e = entities.withColumn("block", F.explode(_keys(False)))
-    r = records.withColumn("block", F.explode(_keys(True)))
-    sizes = e.groupBy("block").agg(F.count("*").alias("ne")).join(r.groupBy("block").agg(F.count("*").alias("nr")), "block")
-    if block_pairs is not None:
-        large = cut(sizes.filter(F.col("ne") * F.col("nr") > block_pairs).select("block"), "blocks")
-        finer = lambda side, wide: side.join(large, "block", "left_anti").unionByName(side.join(large, "block").withColumn("block", F.explode(more(F.col("block"), wide))))
-        return finer(e, False).select(F.col("key").alias("e"), "block").join(finer(r, True).select(F.col("key").alias("r"), "block"), "block").select("e", "r").distinct()
-    grid = cut(sizes.filter(F.col("ne") * F.col("nr") > CELL * CELL).select("block", F.ceil(F.col("ne") / CELL).alias("rows"), F.ceil(F.col("nr") / CELL).alias("columns")), "blocks")
 
-    def placed(side: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        """Each row in its one row (column) of its block's grid, and in every column (row) there."""
-        s = side.select(F.col("key").alias(name), "block").join(grid, "block", "left")
-        s = s.withColumn(f"at_{own}", F.pmod(F.xxhash64(name), F.coalesce(own, F.lit(1))))
-        return s.select(name, "block", f"at_{own}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1)).alias(f"at_{other}"))
+def sketched(rows: DataFrame) -> DataFrame:
+    """Rows with a number `n` and what `bound` needs of them, in a few integers (s_...)."""
+    squeezed = F.regexp_replace(F.col("people")[0], " ", "")
+    only = F.size("people") == 1
+    kinds = F.aggregate(F.transform("genres", lambda g: _bit(F.xxhash64(g))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return rows.select(
+        "*", F.monotonically_increasing_id().alias("n"), F.length("core").alias("s_length"), _letters(F.col("core")).alias("s_letters"), F.hash("number").alias("s_number"),
+        # 0: nobody is known, 1: one name, 2: several names or an initial, of which the letters tell too little.
+        F.when(F.coalesce(F.size("people"), F.lit(0)) <= 0, 0).when(only & (F.length(F.element_at(F.split(F.col("people")[0], " "), 1)) > 1), 1).otherwise(2).alias("s_named"),
+        F.when(only, _letters(squeezed)).alias("s_name"), F.when(only, F.hash(_surname(F.col("people")[0]))).alias("s_surname"), F.when(only, F.length(squeezed)).alias("s_name_length"),
+        F.when(F.size("genres") > 0, kinds).alias("s_genres"), F.hash("language").alias("s_language"),
+    )
 
-    return placed(e, "e", "rows", "columns").join(placed(r, "r", "columns", "rows"), ["block", "at_rows", "at_columns"]).select("e", "r").distinct()
+
+SKETCH = ("n", "year", "runtime", "cut_off", "s_length", "s_letters", "s_number", "s_named", "s_name", "s_surname", "s_name_length", "s_genres", "s_language")
+
+
+def bound(e, r) -> Column:
+    """No less than the log odds of a pair, from the two rows' sketches: what cannot reach the floor is not compared."""
+    apart = F.greatest(F.abs(e("s_length") - r("s_length")), F.ceil(F.bit_count(e("s_letters").bitwiseXOR(r("s_letters"))) / 2))
+    title = F.when(r("cut_off"), 0.0).otherwise(_step(apart / F.greatest(e("s_length"), r("s_length")), (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"]))
+    number = F.when((e("s_number") != r("s_number")) & ~r("cut_off"), WEIGHTS["number"]).otherwise(0.0)
+    off = F.greatest(F.abs(e("s_name_length") - r("s_name_length")), F.ceil(F.bit_count(e("s_name").bitwiseXOR(r("s_name"))) / 2))
+    exact, close, near, wrong = WEIGHTS["director"]
+    # An initial agrees by its surname; otherwise so many letters differ.
+    initial = F.when((e("s_name").isNotNull()) & (r("s_name").isNotNull()) & (e("s_surname") != r("s_surname")), F.when(off <= 1, close).when(off <= 2, near).otherwise(wrong)).otherwise(exact)
+    director = F.when((e("s_named") == 0) | (r("s_named") == 0), 0.0).when((e("s_named") == 1) & (r("s_named") == 1), F.when(off == 0, exact).when(off <= 1, close).when(off <= 2, near).otherwise(wrong)).otherwise(initial)
+    year = _step(F.abs(e("year") - r("year")), (0, 1, 2), WEIGHTS["year"])
+    runtime = _step(F.abs(e("runtime") - r("runtime")), (1, 4, 8), WEIGHTS["runtime"])
+    same, some, _, none = WEIGHTS["genres"]
+    kinds = F.when(e("s_genres").isNull() | r("s_genres").isNull(), 0.0).when(e("s_genres") == r("s_genres"), same).when(e("s_genres").bitwiseAND(r("s_genres")) == 0, none).otherwise(some)
+    language = F.when(e("s_language") == r("s_language"), WEIGHTS["language"][0]).otherwise(0.0)
+    return title + number + director + year + runtime + kinds + language - e("common")
+
+
+def candidates(entities: DataFrame, records: DataFrame, floor: float | None = FLOOR, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Distinct (e, r), the numbers of the rows that share a block key, all of them whose log odds can reach `floor`.
+
+    Both tables in `sketched` form, entities with `common`. Only keys and sketches travel, and a pair below its bound leaves
+    in the join that makes it. The entities of a block of more than `slot_rows` are spread over slots, each of which meets
+    the block's records, so that no task compares a large block alone. `floor` None: no pair is left out.
+    """
+    side = lambda df, name, wide, *more: df.select(F.explode(_keys(wide)).alias("block"), F.struct(*SKETCH, *more).alias(name))
+    e, r = side(entities, "e", False, "common"), side(records, "r", True)
+    large = cut(e.groupBy("block").agg(F.count("*").alias("rows")).filter(F.col("rows") > slot_rows).select("block", F.ceil(F.col("rows") / slot_rows).cast("int").alias("slots")), "blocks")
+    on = ["block"]
+    if not large.isEmpty():
+        slots = F.coalesce("slots", F.lit(1))
+        e = e.join(large, "block", "left").select("block", "e", F.pmod(F.col("e.n"), slots).cast("int").alias("slot"))
+        r = r.join(large, "block", "left").select("block", "r", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+        on = ["block", "slot"]
+    pairs = e.join(r, on)
+    if floor is not None:
+        pairs = pairs.filter(bound(lambda c: F.col(f"e.{c}"), lambda c: F.col(f"r.{c}")) >= floor)
+    return pairs.select(F.col("e.n").alias("e"), F.col("r.n").alias("r")).distinct()
 
 
 def _step(value: Column, at: tuple, weights: tuple) -> Column:
@@ -145,13 +200,12 @@ def _step(value: Column, at: tuple, weights: tuple) -> Column:
     return F.when(value.isNull(), 0.0).otherwise(out)
 
 
-def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(e, r, odds): the log odds of each candidate pair, a common title counting for less."""
-    same_title = entities.filter("core is not null").groupBy("core", "number").agg(F.count("*").alias("same_title"))
-    e = entities.join(same_title, ["core", "number"], "left")
-    e = e.select(*[F.col(c).alias(f"e_{c}") for c in e.columns])
-    r = records.select(*[F.col(c).alias(f"r_{c}") for c in records.columns])
-    p = pairs.join(e, pairs["e"] == e["e_key"]).join(r, pairs["r"] == r["r_key"])
+def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(e, r, odds): the keys and the log odds of each candidate pair of at least `floor`, a common title counting for less."""
+    columns = ("key", "core", "number", "cut_off", "year", "runtime", "people", "genres", "language")
+    e = entities.select(F.col("n").alias("e"), "common", *[F.col(c).alias(f"e_{c}") for c in columns if c != "cut_off"])
+    r = records.select(F.col("n").alias("r"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    p = pairs.join(e, "e").join(r, "r")
     core = F.when(F.col("r_cut_off"), F.substring(F.col("e_core"), F.lit(1), F.length("r_core"))).otherwise(F.col("e_core"))
     away = F.levenshtein(core, F.col("r_core")) / F.greatest(F.length(core), F.length("r_core"))
     title = _step(away, (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"]) - F.when(F.col("r_cut_off") & (F.length("e_core") > F.length("r_core")), 1.0).otherwise(0.0)
@@ -164,18 +218,19 @@ def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame) -> DataF
         apart = F.levenshtein(squeezed_a, squeezed_b)
         return F.when(a == b, 0).when(initial | (apart <= 1), 1).when(apart <= 2, 2).otherwise(3)
 
-    levels = F.flatten(F.transform("e_people", lambda a: F.transform("r_people", lambda b: name_level(a, b))))
-    director = _step(F.when((F.size("e_people") > 0) & (F.size("r_people") > 0), F.array_min(levels)), (0, 1, 2), WEIGHTS["director"])
+    levels = F.array_min(F.flatten(F.transform("e_people", lambda a: F.transform("r_people", lambda b: name_level(a, b)))))
+    level = F.when((F.size("e_people") == 1) & (F.size("r_people") == 1), name_level(F.col("e_people")[0], F.col("r_people")[0])).when((F.size("e_people") > 0) & (F.size("r_people") > 0), levels)
+    director = _step(level, (0, 1, 2), WEIGHTS["director"])
     year = _step(F.abs(F.col("e_year") - F.col("r_year")), (0, 1, 2), WEIGHTS["year"])
     runtime = _step(F.abs(F.col("e_runtime") - F.col("r_runtime")), (1, 4, 8), WEIGHTS["runtime"])
     shared = F.size(F.array_intersect("e_genres", "r_genres")) / F.size(F.array_union("e_genres", "r_genres"))
     kinds = _step(F.when((F.size("e_genres") > 0) & (F.size("r_genres") > 0), 1 - shared), (0.0, 0.5, 0.99), WEIGHTS["genres"])
     language = F.when(F.col("e_language").isNull() | F.col("r_language").isNull(), 0.0).when(F.col("e_language") == F.col("r_language"), WEIGHTS["language"][0]).otherwise(WEIGHTS["language"][1])
-    odds = title + number + director + year + runtime + kinds + language - F.log(F.coalesce("e_same_title", F.lit(1)).cast("double"))
-    return p.select("e", "r", odds.alias("odds"))
+    odds = title + number + director + year + runtime + kinds + language - F.col("common")
+    return p.select(F.col("e_key").alias("e"), F.col("r_key").alias("r"), odds.alias("odds")).filter(F.col("odds") >= floor)
 
 
-def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = -4.0, tolerance: float = 1e-3, max_rounds: int = 30, damping: float = 0.5) -> DataFrame:
+def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = FLOOR, tolerance: float = 1e-3, max_rounds: int = 30, damping: float = 0.5) -> DataFrame:
     """(e, r, probability) of every pair whose log odds are at least `floor`, by belief propagation on (e, r, odds).
 
     A node's outgoing message depends on the sum over its pairs less the pair's own part, so each half-round is one
@@ -208,10 +263,16 @@ def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = -4.0, tol
     return p.select("e", "r", (1 / (1 + F.exp(-total))).alias("probability"))
 
 
+def with_common(entities: DataFrame) -> DataFrame:
+    """Entities with `common`, the log of how many of them have the same title and number."""
+    same = entities.filter("core is not null").groupBy("core", "number").agg(F.log(F.count("*").cast("double")).alias("common"))
+    return entities.join(same, ["core", "number"], "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
+
+
 def match(entities: DataFrame, records: DataFrame, **how) -> DataFrame:
     """(e, r, probability) of the pairs of two tables in `described` form.
 
     Records without a title get no candidate. Null attributes count neither for nor against. Either table empty: no rows.
     """
-    entities, records = cut(entities, "entities"), cut(records, "records")
+    entities, records = cut(sketched(with_common(entities)), "entities"), cut(sketched(records), "records")
     return marginals(evidence(entities, records, candidates(entities, records)), **how)

@@ -47,15 +47,31 @@ def test_match(spark):
     assert matched(spark, films, []) == {} and matched(spark, [], rts) == {}
 
 
-def test_match_repeats_and_blocks(spark):
-    films = [record(f"f{i}", "same", 2000, 60 + i, f"p q{i:03d}") for i in range(30)]
+def candidate_pairs(spark, films, rts, **how):
+    """Keys of the candidates, from tables in the described form."""
+    e = linkage.cut(linkage.sketched(linkage.with_common(spark.createDataFrame(films, FORM))))
+    r = linkage.cut(linkage.sketched(spark.createDataFrame(rts, FORM)))
+    pairs = linkage.candidates(e, r, **how).join(e.select(F.col("n").alias("e"), F.col("key").alias("ek")), "e").join(r.select(F.col("n").alias("r"), F.col("key").alias("rk")), "r")
+    return {(x.ek, x.rk) for x in pairs.collect()}, e, r
+
+
+def test_bound_is_never_below_the_odds(spark):
+    random.seed(11)
+    cores, names = ["goldenferry", "goldenfery", "ironwinter", "ironwinters", "quiet", "quietoath"], ["ann lee", "a lee", "anne lee", "bo ray", "bo raye", "bob ray", "c d lee"]
+    made = lambda i: (f"k{i}", random.choice(cores), random.choice(["", "", "2"]), random.random() < 0.1, random.choice([None, 2000, 2001, 2002, 2009]), random.choice([None, 100, 103, 107, 130]), random.choice([None, [], *[[n] for n in names], ["ann lee", "bo ray"]]), random.choice([[], ["drama"], ["drama", "war"], ["western"]]), random.choice([None, "en", "fr"]))
+    every, e, r = candidate_pairs(spark, [made(i) for i in range(120)], [made(i) for i in range(120)], floor=None)
+    kept, e, r = candidate_pairs(spark, [made(i) for i in range(120)], [made(i) for i in range(120)], floor=0.0)
+    cross = e.select(F.col("n").alias("e")).crossJoin(r.select(F.col("n").alias("r")))
+    odds = {(x.e, x.r): x.odds for x in linkage.evidence(e, r, cross, -100.0).collect()}
+    keys = {(x.e, x.r) for x in linkage.evidence(e, r, linkage.candidates(e, r, None), -100.0).collect()}
+    assert {p for p in keys if odds[p] >= 0} <= kept and len(kept) < len(keys)
+
+
+def test_hot_blocks_meet_in_slots(spark):
+    films = [record(f"f{i}", "same", 2000, 60 + i, f"p q{i:03d}") for i in range(30)] * 2
     rts = [record(f"r{i}", "same", 2000, 60 + i, f"p q{i:03d}") for i in range(30)]
-    a, b = spark.createDataFrame(films * 2, FORM), spark.createDataFrame(rts, FORM)
-    a = linkage.described(a, F.col("key"), F.col("core"), F.col("year"), F.col("runtime"), F.col("people"), F.col("genres"), F.col("language"))
-    b = linkage.described(b, F.col("key"), F.col("core"), F.col("year"), F.col("runtime"), F.col("people"), F.col("genres"), F.col("language"))
-    few = linkage.candidates(a, b, block_pairs=10)
-    assert few.count() < linkage.candidates(a, b).count()
-    assert {(r.e, r.r) for r in few.collect()} >= {(f"f{i}", f"r{i}") for i in range(30)}
+    assert candidate_pairs(spark, films, rts, slot_rows=4)[0] == candidate_pairs(spark, films, rts)[0]
+    assert candidate_pairs(spark, films, rts)[0] >= {(f"f{i}", f"r{i}") for i in range(30)}
 
 
 def test_match_without_director_and_running_time(spark):
@@ -67,8 +83,10 @@ def test_match_without_director_and_running_time(spark):
 def test_large_blocks_keep_every_pair(spark):
     films = [record(f"f{i}", "same", 2000, 100, None) for i in range(400)] + [record(f"d{i}", f"film{i}", 1990, 90, "p quirk", genres=("war",)) for i in range(160)]
     rts = [record(f"r{i}", "same", 2000, 103, None) for i in range(160)] + [record(f"s{i}", f"tape{i}", 1990, 99, "p quirrk", genres=("crime",)) for i in range(160)]
-    got = {(r.e, r.r) for r in linkage.candidates(spark.createDataFrame(films, FORM), spark.createDataFrame(rts, FORM)).collect()}
+    got = candidate_pairs(spark, films, rts, floor=None, slot_rows=50)[0]
     assert got == {(f"f{i}", f"r{j}") for i in range(400) for j in range(160)} | {(f"d{i}", f"s{j}") for i in range(160) for j in range(160)}
+    # 400 films of one title leave odds of 0 + 3 + 1.5 + 2 + 0.5 - log(400), above the floor.
+    assert {p for p in got if p[0][0] == "f"} <= candidate_pairs(spark, films, rts)[0]
 
 
 def exact_marginals(edges, repeat):
