@@ -54,24 +54,31 @@ def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return nearest(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64, probes=32)
 
 
-def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each pair once with its highest score."""
+def scored_neighbours(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "movies_neighbors_k50", "movie_id", "neighbor_id", "score")
-    rows = rows.filter("movie_id is not null and neighbor_id is not null and score is not null and not isnan(score) and movie_id <> neighbor_id")
+    return rows.filter("movie_id is not null and neighbor_id is not null and score is not null and not isnan(score) and movie_id <> neighbor_id")
+
+
+def neighbour_pairs(rows: DataFrame) -> DataFrame:
+    """Each pair once with its highest score."""
     return rows.groupBy("movie_id", "neighbor_id").agg(F.max("score").alias("score"))
 
 
-def latest_ratings(spark: SparkSession, d: str) -> DataFrame:
-    """Each pair once with its latest rating, then the higher one."""
+def valid_ratings(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "ratings_long_format", "user_index", "canonical_id", "rating", "rated_at")
-    rows = rows.filter("user_index is not null and canonical_id is not null and not isnan(rating) and rating between 0.5 and 5")
+    return rows.filter("user_index is not null and canonical_id is not null and not isnan(rating) and rating between 0.5 and 5")
+
+
+def latest_ratings(rows: DataFrame) -> DataFrame:
+    """Each pair once with its latest rating, then the higher one."""
     best = rows.groupBy("user_index", "canonical_id").agg(F.max(F.struct("rated_at", "rating")).alias("m"))
     return best.select("user_index", "canonical_id", "m.rating", "m.rated_at")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    films = top_n(neighbour_pairs(spark, d), "movie_id", "score", [F.desc("score"), F.asc("neighbor_id")])
-    users = top_n(latest_ratings(spark, d), "user_index", "rating", [F.desc("rating"), F.desc_nulls_last("rated_at"), F.asc("canonical_id")])
+    scored, rated = scored_neighbours(spark, d), valid_ratings(spark, d)
+    films = top_n(neighbour_pairs(scored), "movie_id", "score", [F.desc("score"), F.asc("neighbor_id")], scanned=scored)
+    users = top_n(latest_ratings(rated), "user_index", "rating", [F.desc("rating"), F.desc_nulls_last("rated_at"), F.asc("canonical_id")], scanned=rated)
     a = films.select(F.lit("movies_neighbors_k50").alias("table_name"), F.col("movie_id").alias("group_key"), F.col("neighbor_id").alias("item_key"))
     b = users.select(F.lit("ratings_long_format").alias("table_name"), F.col("user_index").cast("string").alias("group_key"), F.col("canonical_id").alias("item_key"))
     return a.unionByName(b)

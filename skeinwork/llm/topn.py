@@ -17,8 +17,6 @@ from pyspark.sql.window import Window
 from skeinwork.session import cut
 
 GRID = 64
-#: Full groups are broadcast up to this many (about 50 bytes each); beyond, rows are ranked first and then anti-joined.
-FULL_BROADCAST = 400_000
 
 
 def band_edges(rows: DataFrame, group: str, score: str, n: int, widen: int = 4) -> list[float]:
@@ -31,12 +29,15 @@ def band_edges(rows: DataFrame, group: str, score: str, n: int, widen: int = 4)
     return sorted(set(edges), reverse=True)
 
 
-def top_n(rows: DataFrame, group: str, score: str, order: Sequence[Column], n: int = 10, edges: Sequence[float] | None = None, full_broadcast: int = FULL_BROADCAST) -> DataFrame:
+def top_n(rows: DataFrame, group: str, score: str, order: Sequence[Column], n: int = 10, edges: Sequence[float] | None = None, scanned: DataFrame | None = None) -> DataFrame:
     """The first n rows of each `group` by `order`, which must start with `score` descending and leave no ties.
 
     Score and group must not be null nor NaN. A group with fewer rows keeps them all; equal rows each take a place.
+    `scanned`: rows with the same two columns to take the band edges from, where `rows` are costly to make; edges decide
+    how much is worked off early, never what comes out. The anti-join and the ranking share one shuffle by group, and a hot
+    group is full after its first band.
     """
-    rows = rows.withColumn("__band", _band(score, edges if edges is not None else band_edges(rows, group, score, n)))
+    rows = rows.withColumn("__band", _band(score, edges if edges is not None else band_edges(rows if scanned is None else scanned, group, score, n)))
     rows = cut(rows, "bands", ["__band"])
     bands = sorted(r["__band"] for r in rows.select("__band").distinct().collect())
     ranked = Window.partitionBy(group).orderBy(*order)
@@ -46,9 +47,7 @@ def top_n(rows: DataFrame, group: str, score: str, order: Sequence[Column], n: i
         live = rows.filter(F.col("__band") == band).select(*columns)
         if done is not None:
             have = done.groupBy(group).agg(F.count("*").alias("__have"))
-            full = have.filter(F.col("__have") >= n).select(group)
-            if full.count() <= full_broadcast:
-                live = live.join(F.broadcast(full), group, "left_anti")
+            live = live.join(have.filter(F.col("__have") >= n).select(group), group, "left_anti")
         live = live.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= n)
         if done is not None:
             live = live.join(have, group, "left").filter(F.col("__rank") <= n - F.coalesce("__have", F.lit(0)))

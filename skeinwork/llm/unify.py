@@ -15,15 +15,21 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators.skew import HOT_ROWS, hot_split_join
 from skeinwork.session import cut
 
-# Letters and marks of other alphabets with the Latin (or ASCII) ones they look like.
+# Letters and marks of other alphabets (Cyrillic, Greek, phonetic, Armenian, Cherokee, Lisu, Coptic) with the
+# Latin (or ASCII) ones they look like. Letters that only resemble each other (Greek alpha and a) stay apart.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ο": "o", "ν": "v", "ρ": "p",
-    "Օ": "O", "օ": "o", "ս": "u", "ɡ": "g", "ɑ": "a",
+    "ϲ": "c", "ϳ": "j", "Ϲ": "C", "ү": "y", "Ԍ": "G",
+    "Օ": "O", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "յ": "j", "Ս": "U", "Տ": "S", "Լ": "L", "ɡ": "g", "ɑ": "a",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X", "ⲭ": "x",
     "‐": "-", "‑": "-",
 }
 # Compatibility decompositions that change what a reader sees.
@@ -89,20 +95,25 @@ def unified(text: Column | str, fold: bool = False) -> Column:
     return F.pandas_udf(_vectorised(look_folded if fold else look), "string")(text)
 
 
-def same_look_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def same_look_pairs(docs: DataFrame, doc_id: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents of different characters but equal look. Null texts are in no pair.
 
     Only fingerprints travel. Pairs are formed between distinct texts of a look and then expanded to their documents,
-    so copies of one text never meet each other.
+    so copies of one text never meet each other; the copies of a hot text are spread over tasks.
     """
     prints = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.sha2(text, 256).alias("t"), F.sha2(unified(text), 256).alias("f"))
     prints = cut(prints, "prints")
     texts = prints.groupBy("f", "t").agg(F.count("*").alias("n"))
     mixed = texts.groupBy("f").agg(F.count("*").alias("k")).filter("k > 1").select("f")
     texts = cut(texts.join(mixed, "f"), "texts")
-    one, two = texts.select("f", F.col("t").alias("t1")), texts.select("f", F.col("t").alias("t2"))
-    pairs = one.join(two, "f").filter("t1 < t2").select("t1", "t2")
-    left = prints.select(F.col("id").alias("a"), F.col("t").alias("t1"))
-    right = prints.select(F.col("id").alias("b"), F.col("t").alias("t2"))
-    out = pairs.join(left, "t1").join(right, "t2")
+    # Documents of a look with several texts; a text of very many copies is broadcast, which is bounded (see `skew`).
+    members = cut(hot_split_join(prints.select("id", "t"), texts.select("t", "n", F.col("n").alias("of")), ["t"], "n", hot_rows), "members")
+    parts = lambda n: F.ceil(F.col(n) / hot_rows).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    slot = F.pmod(F.xxhash64("id"), parts("of")).cast("int")
+    one, two = texts.select("f", F.col("t").alias("t1"), F.col("n").alias("n1")), texts.select("f", F.col("t").alias("t2"), F.col("n").alias("n2"))
+    pairs = one.join(two, "f").filter("t1 < t2").select("t1", "t2", "n2", every("n1").alias("s1"))
+    left = members.select(F.col("id").alias("a"), F.col("t").alias("t1"), slot.alias("s1"))
+    right = members.select(F.col("id").alias("b"), F.col("t").alias("t2"), slot.alias("s2"))
+    out = pairs.join(left, ["t1", "s1"]).select("a", "t2", every("n2").alias("s2")).join(right, ["t2", "s2"])
     return out.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

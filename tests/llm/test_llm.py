@@ -182,9 +182,8 @@ def test_top_n(spark):
     df = spark.createDataFrame(rows, "g string, item int, score double, band string")
     want = sorted(r for g in {x[0] for x in rows} for r in sorted([x for x in rows if x[0] == g], key=lambda x: (-x[2], x[1]))[:10])
     for edges in (None, [], [2.5], [2.5, 1.5, 0.5], [9.0]):
-        for full in (0, 1000):
-            got = topn.top_n(df, "g", "score", [F.desc("score"), F.asc("item")], 10, edges, full).collect()
-            assert sorted(map(tuple, got)) == want
+        got = topn.top_n(df, "g", "score", [F.desc("score"), F.asc("item")], 10, edges, scanned=df.limit(5) if edges is None else None).collect()
+        assert sorted(map(tuple, got)) == want
     assert topn.top_n(df.limit(0), "g", "score", [F.desc("score"), F.asc("item")]).count() == 0
 
 
@@ -349,4 +348,5 @@ def test_same_look_pairs(spark):
     df = spark.createDataFrame([(*r, "q", "q") for r in rows], "doc_id long, text string, f string, t string")
     got = sorted(tuple(r) for r in unify.same_look_pairs(df, "doc_id", "text").collect())
     assert got == [(1, 2), (1, 11), (2, 3), (2, 11), (3, 11), (7, 8), (9, 10)]
+    assert sorted(tuple(r) for r in unify.same_look_pairs(df, "doc_id", "text", hot_rows=1).collect()) == got
     assert unify.same_look_pairs(df.limit(0), "doc_id", "text").count() == 0
