@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinwork.functions import arrays
 from skeinwork.operators.ordered import first_rows
 
 
@@ -144,6 +145,43 @@ def mmr(candidates: DataFrame, by: str, item: str, score: str, vector: str, k: i
     return top.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {item} {kinds[item]}, rank int")
 
 
+def composite(families: Sequence[tuple[Column, float]], dims: int, seed: int = 42) -> Column:
+    """One unit vector of `dims` numbers from several: each made unit length, weighted, all joined, turned by a random
+    orthogonal matrix (QR of a Gaussian one; its first `dims` rows if there are fewer than the parts have together).
+    A family that is null or all zero adds nothing; the families' lengths must be the same in every row."""
+    weights = [w for _, w in families]
+
+    def run(*parts: pd.Series) -> pd.Series:
+        joined = []
+        for part, w in zip(parts, weights, strict=True):
+            known = next((np.asarray(v) for v in part if v is not None), np.zeros(1))
+            x = np.stack([np.zeros(len(known)) if v is None else np.asarray(v, dtype=np.float64) for v in part])
+            joined.append(w * x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1))
+        every = np.concatenate(joined, axis=1)
+        q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((every.shape[1], every.shape[1])))
+        out = every @ (q * np.sign(np.diag(r)))[:, :dims]
+        return pd.Series(list(out / np.where((n := np.linalg.norm(out, axis=1, keepdims=True)) > 0, n, 1)))
+
+    return F.pandas_udf(run, "array<double>")(*[c for c, _ in families])
+
+
+def attributed(recs: DataFrame, anchors: DataFrame, vectors: DataFrame, tags: DataFrame, neighbours: DataFrame, seen: DataFrame) -> DataFrame:
+    """recs with what speaks for each: cosine to the user's anchor, the item's norm, its rank among the anchor's neighbours,
+    genres shared with the anchor and their Jaccard overlap, share of genres new to the user. Unknown parts are null.
+
+    anchors (user, anchor), vectors (item, x), tags (item, tags), seen (user, seen): each at most a row a key.
+    """
+    own = vectors.select("item", F.col("x").alias("__x")), tags.select("item", F.col("tags").alias("__t"))
+    of_anchor = vectors.select(F.col("item").alias("anchor"), F.col("x").alias("__ax")), tags.select(F.col("item").alias("anchor"), F.col("tags").alias("__at"))
+    near = neighbours.select(F.col("movie_id").alias("anchor"), F.col("neighbor_id").alias("item"), F.col("rank").alias("neighbour_rank"))
+    r = recs.join(anchors, "user").join(own[0], "item", "left").join(own[1], "item", "left").join(of_anchor[0], "anchor", "left").join(of_anchor[1], "anchor", "left")
+    r = r.join(near, ["anchor", "item"], "left").join(seen, "user", "left")
+    shared = F.size(F.array_intersect("__t", "__at"))
+    known = F.col("__t").isNotNull() & F.col("__at").isNotNull()
+    new = F.size(F.array_except("__t", "seen"))
+    return r.withColumns({"cosine": F.when(arrays.norm(F.col("__x")) * arrays.norm(F.col("__ax")) > 0, arrays.cosine(F.col("__x"), F.col("__ax"))), "item_norm": arrays.norm(F.col("__x")), "shared_genres": F.when(known, shared), "genre_jaccard": F.when(known, shared / F.size(F.array_union("__t", "__at"))), "new_genre_share": F.when(F.col("__t").isNotNull() & F.col("seen").isNotNull(), new / F.size("__t"))}).drop("__x", "__ax", "__t", "__at", "seen")
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 

@@ -30,12 +30,19 @@ def l01_tf_idf(spark, d):
     return _weights(spark, d)[0].withColumn("weight", F.round("weight", 6))
 
 
-@query()
+_ASKED = (("q1", "oil price demand"), ("q2", "the film and its ending"), ("q3", "midfielder goal match"), ("q4", "founder of the company"), ("q5", "salary remote"))
+_ASKED_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _ASKED)
+
+
+@query(f"""WITH {_TERMS}, q0 AS (SELECT query, list_filter(regexp_split_to_array(text, '[^a-z]+'), lambda x: length(x) > 1) AS w FROM (VALUES {_ASKED_SQL}) t(query, text)),
+q1 AS (SELECT query, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM q0), q2 AS (SELECT query, term, count(*) * any_value(idf) AS w FROM q1 JOIN v USING (term) GROUP BY 1, 2), ql AS (SELECT query, sqrt(sum(w * w)) AS ql FROM q2 GROUP BY 1),
+s AS (SELECT query, doc, round(sum(q2.w / ql * r.w / l), 9) AS score FROM q2 JOIN ql USING (query) JOIN r USING (term) JOIN l USING (doc) GROUP BY 1, 2)
+SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
 def l02_search(spark, d):
     """L2: five queries against all documents."""
     weights, vocabulary = _weights(spark, d)
-    q = spark.createDataFrame([("q1", "oil price demand"), ("q2", "the film and its ending"), ("q3", "midfielder goal match"), ("q4", "founder of the company"), ("q5", "salary remote")], "query string, text string")
-    return textsearch.search(weights, vocabulary, q, 10)
+    q = spark.createDataFrame(list(_ASKED), "query string, text string")
+    return textsearch.search(weights, vocabulary, q, 10).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x) AS x FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS neighbor, round(round(list_cosine_similarity(a.x, b.x), 9), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.x, b.x), 9) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id <> b.vec_id)
@@ -52,35 +59,44 @@ def _neighbours(spark, d):
 
 
 _NB = "n AS (SELECT * FROM (SELECT movie_id, neighbor_id, max(score) AS score, row_number() OVER (PARTITION BY movie_id ORDER BY max(score) DESC, neighbor_id) AS rank FROM movies_neighbors_k50 WHERE movie_id <> neighbor_id AND score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2) WHERE rank <= 50)"
-_SEED = f"s AS (SELECT user_index AS user, canonical_id AS item FROM (SELECT *, row_number() OVER (PARTITION BY user_index ORDER BY rating DESC, rated_at DESC, canonical_id) AS r FROM {_DEDUPED}) WHERE r <= 3)"
+_SEED = f"s AS (SELECT user_index AS user, canonical_id AS item FROM (SELECT *, row_number() OVER (PARTITION BY user_index ORDER BY rating DESC, rated_at DESC, canonical_id) AS r FROM {_DEDUPED}) WHERE r <= 20)"
+
+
+SEEDS = 20
 
 
 def _seeds(spark, d):
-    return ordered.first_rows(one_rating(spark, d), ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")], 3).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item"))
+    return ordered.first_rows(one_rating(spark, d), ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")], SEEDS).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item"))
 
 
 @query(f"""WITH {_NB}, {_SEED}, f AS (SELECT user, neighbor_id AS item, count(*) AS hits, max(score) AS best, list_avg(list_sort(list(score), 'DESC')[1:10]) AS m FROM s JOIN n ON s.item = n.movie_id GROUP BY 1, 2)
 SELECT user, item, hits, round(best, 6) AS best, round(m, 10) AS mean_top10 FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user = f.user AND s.item = f.item)""")
 def l05_content_expansion(spark, d):
-    """The three favourites of every user, spread to their neighbours."""
+    """The twenty favourites of every user, spread to their neighbours."""
     e = recommend.expand_by_neighbours(_seeds(spark, d), _neighbours(spark, d))
     return e.withColumns({"best": F.round("best", 6), "mean_top10": F.round("mean_top10", 10)})
 
 
 _BLEND = f"""{_NB}, {_SEED}, c AS (SELECT user, neighbor_id AS item, max(score) AS content FROM s JOIN n ON s.item = n.movie_id GROUP BY 1, 2), g AS (SELECT canonical_id AS item, avg(rating) / 5 AS popular, count(*) AS votes FROM {_DEDUPED} GROUP BY 1), h AS (SELECT user_index AS user, count(*) AS history FROM {_DEDUPED} GROUP BY 1),
-b AS (SELECT user, item, CASE WHEN popular IS NULL THEN content ELSE a * content + (1 - a) * popular END + 0.05 * coalesce(least(votes / 100.0, 1), 0) AS score FROM (SELECT *, CASE WHEN history <= 2 THEN 0.8 WHEN history <= 10 THEN 0.6 WHEN history <= 100 THEN 0.4 ELSE 0.2 END AS a FROM c LEFT JOIN g USING (item) JOIN h USING (user))),
+b AS (SELECT user, item, CASE WHEN popular IS NULL THEN content ELSE a * content + (1 - a) * popular END + 0.05 * coalesce(least(votes / 100.0, 1), 0) + 0.03 * coalesce((greatest(least(y, 2030), 1900) - 1900) / 130.0, 0.5) + 0.02 * coalesce(CAST(linked AS INT), 0) AS score FROM (SELECT *, CASE WHEN history <= 2 THEN 0.8 WHEN history <= 10 THEN 0.6 WHEN history <= 100 THEN 0.4 ELSE 0.2 END AS a FROM c LEFT JOIN g USING (item) JOIN h USING (user)
+  LEFT JOIN (SELECT canonical_id AS item, max(year_norm) AS y FROM movies_master GROUP BY 1) USING (item) LEFT JOIN (SELECT canonical_id AS item, bool_or(has_tmdb) AS linked FROM id_bridge WHERE canonical_id IS NOT NULL GROUP BY 1) USING (item))),
 r AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, item) AS rank FROM b)"""
 
 
 def _recs(spark, d, k=10):
+    """The k best of every user (all if None): content and popularity, with small boosts for votes, recency and links."""
     ratings = one_rating(spark, d)
     c = _seeds(spark, d).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
     g = ratings.groupBy(F.col("canonical_id").alias("item")).agg((F.avg("rating") / 5).alias("popular"), F.count("*").alias("votes"))
     h = ratings.groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
-    score = recommend.blended(F.col("content"), F.col("popular"), recommend.cohort_alpha(F.col("history")), [(F.least(F.col("votes") / 100, F.lit(1.0)), 0.05)])
-    s = c.join(g, "item", "left").join(h, "user").select("user", "item", F.round(score, 9).alias("score"))
+    years = load(spark, d, "movies_master", "canonical_id", "year_norm").groupBy(F.col("canonical_id").alias("item")).agg(F.max("year_norm").alias("y"))
+    links = load(spark, d, "id_bridge", "canonical_id", "has_tmdb").filter("canonical_id is not null").groupBy(F.col("canonical_id").alias("item")).agg(F.bool_or("has_tmdb").alias("linked"))
+    recent = F.coalesce((F.greatest(F.least("y", F.lit(2030)), F.lit(1900)) - 1900) / 130.0, F.lit(0.5))
+    score = recommend.blended(F.col("content"), F.col("popular"), recommend.cohort_alpha(F.col("history")), [(F.least(F.col("votes") / 100, F.lit(1.0)), 0.05), (recent, 0.03), (F.col("linked").cast("double"), 0.02)])
+    s = c.join(g.join(years, "item", "full").join(links, "item", "full"), "item", "left").join(h, "user").select("user", "item", F.round(score, 9).alias("score"))
     w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    s = s.withColumn("rank", F.row_number().over(w))
+    return s if k is None else s.filter(F.col("rank") <= k)
 
 
 @query(f"WITH {_BLEND} SELECT user, item, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -93,7 +109,7 @@ def l06_hybrid(spark, d):
 def l09_mmr(spark, d):
     """The hybrid list made diverse with the films' vectors."""
     v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy(F.col("canonical_id").alias("item")).agg(F.min("embedding").alias("embedding"))
-    return recommend.mmr(_recs(spark, d, 100).join(v, "item"), "user", "item", "score", "embedding", 10)
+    return recommend.mmr(_recs(spark, d, 500).join(v, "item"), "user", "item", "score", "embedding", 20, pool=500)
 
 
 @query(f"WITH u AS (SELECT DISTINCT user_index FROM {_DEDUPED}) SELECT count(*) AS users, min(i) AS low, max(i) AS high, count(DISTINCT i) AS indices FROM (SELECT row_number() OVER (ORDER BY user_index) - 1 AS i FROM u)")
@@ -175,7 +191,7 @@ def e09_novelty(spark, d):
 @query(f"""WITH {_BLEND}, v AS (SELECT canonical_id AS item, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 GROUP BY 1)
 SELECT r.user, round(1 - avg(coalesce(CASE WHEN list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0 THEN list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) END, 0)), 5) AS serendipity FROM r JOIN s ON r.user = s.user JOIN v a ON a.item = r.item JOIN v b ON b.item = s.item WHERE rank <= 10 GROUP BY 1""")
 def e10_serendipity(spark, d):
-    """Against the user's three favourites."""
+    """Against the user's favourites."""
     v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy("canonical_id").agg(F.min("embedding").alias("x"))
     r = _recs(spark, d).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("a")), "item")
     s = _seeds(spark, d).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("b")), "item").select("user", "b")
@@ -191,7 +207,13 @@ def e11_by_cohort(spark, d):
     return m.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "average_precision", "ndcg")})
 
 
-@query()
+_GRID = f"""WITH {_BLEND}, {_TRUTH}, z AS (SELECT user, count(*) AS size FROM truth GROUP BY 1), gs AS (SELECT user, item, alpha, round(CASE WHEN popular IS NULL THEN content ELSE alpha * content + (1 - alpha) * popular END, 9) AS score FROM c LEFT JOIN g USING (item), (VALUES (0.0::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (1.0::DOUBLE)) t(alpha)),
+gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user, alpha ORDER BY score DESC, item) AS rank FROM gs) WHERE rank <= 10), h2 AS (SELECT gr.user, alpha, gr.rank, CASE WHEN t.item IS NOT NULL THEN 1 ELSE 0 END AS hit FROM gr LEFT JOIN truth t ON gr.user = t.user AND gr.item = t.item),
+c2 AS (SELECT *, sum(hit) OVER (PARTITION BY user, alpha ORDER BY rank) / rank AS so_far FROM h2), m AS (SELECT user, alpha, sum(hit) AS hits, sum(hit * so_far) AS ap, sum(hit / log2(rank + 1)) AS dcg FROM c2 GROUP BY 1, 2),
+e AS (SELECT alpha, count(*) AS users, avg(hits / size) AS recall, avg(hits / 10.0) AS precision, avg(ap / size) AS average_precision, avg(dcg / list_sum(list_transform(range(1, least(size, 10) + 1), lambda i: 1 / log2(i + 1)))) AS ndcg FROM m JOIN z USING (user) GROUP BY 1)"""
+
+
+@query(f"""{_GRID} SELECT alpha, users, round(recall, 6) AS recall, round(precision, 6) AS precision, round(average_precision, 6) AS average_precision, round(ndcg, 6) AS ndcg, alpha = (SELECT alpha FROM e ORDER BY average_precision DESC, ndcg DESC, recall DESC LIMIT 1) AS is_best, round((average_precision / nullif((SELECT average_precision FROM e WHERE alpha = 0), 0) - 1) * 100, 4) AS lift_percent FROM e""")
 def e12_alpha_grid(spark, d):
     """Every weight is scored anew; the best by MAP, then NDCG, then recall, and its lift over pure popularity."""
     ratings = one_rating(spark, d)
@@ -204,13 +226,13 @@ def e12_alpha_grid(spark, d):
     m = recommend.mean_metrics(recommend.per_user_metrics(recs, truth, 10).withColumn("alpha", F.substring_index("user", ":", -1).cast("double")), ["alpha"])
     best = m.agg(F.max_by("alpha", F.struct("average_precision", "ndcg", "recall")).alias("best"), F.max_by("average_precision", -F.col("alpha")).alias("base"))
     lift = F.try_divide(F.col("average_precision"), F.col("base")) - 1
-    return m.join(F.broadcast(best)).select("alpha", "users", "recall", "precision", "average_precision", "ndcg", (F.col("alpha") == F.col("best")).alias("is_best"), (lift * 100).alias("lift_percent"))
+    return m.join(F.broadcast(best)).select("alpha", "users", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "average_precision", "ndcg")], (F.col("alpha") == F.col("best")).alias("is_best"), F.round(lift * 100, 4).alias("lift_percent"))
 
 
 @query(f"""WITH {_BLEND}, {_TRUTH}, o AS (SELECT t.user, count(r.item) / CAST(count(*) AS DOUBLE) AS reachable FROM truth t LEFT JOIN r ON r.user = t.user AND r.item = t.item GROUP BY 1) SELECT count(*) AS users, round(avg(reachable), 6) AS oracle_recall FROM o""")
 def e15_oracle_recall(spark, d):
     """How much of the truth is anywhere among the candidates."""
-    c = _recs(spark, d, 1_000_000).select("user", "item", F.lit(1).alias("x"))
+    c = _recs(spark, d, None).select("user", "item", F.lit(1).alias("x"))
     o = _truth(spark, d).join(c, ["user", "item"], "left").groupBy("user").agg((F.count("x") / F.count("*")).alias("reachable"))
     return o.agg(F.count("*").alias("users"), F.round(F.avg("reachable"), 6).alias("oracle_recall"))
 
@@ -237,4 +259,49 @@ def e14_error_taxonomy(spark, d):
     return x.groupBy("user").agg((F.avg(flag(F.col("v") > 100000)) > 0.7).cast("int").alias("popularity_bias"), (F.avg(flag(F.col("v") < 1000)) < 0.2).cast("int").alias("no_tail"), (F.coalesce(F.max("y") - F.min("y"), F.lit(0)) > 20).cast("int").alias("drift"), (F.avg(flag(F.col("y") < 2000)) > 0.5).cast("int").alias("stale"), (F.sum(flag(F.col("fr"))) > 2).cast("int").alias("franchise"))
 
 
+@query(f"""WITH {_NB}, {_SEED}, f AS (SELECT user, neighbor_id AS item, count(*) AS hits, max(score) AS best FROM s JOIN n ON s.item = n.movie_id GROUP BY 1, 2), h AS (SELECT user_index AS user, count(*) AS history FROM {_DEDUPED} GROUP BY 1),
+x AS (SELECT f.*, history, row_number() OVER (PARTITION BY user ORDER BY hits DESC, round(best, 9) DESC, item) AS place FROM f JOIN h USING (user) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user = f.user AND s.item = f.item))
+SELECT user, item, place FROM x WHERE place <= CASE WHEN history <= 2 THEN 200 WHEN history <= 10 THEN 500 ELSE 1000 END""")
+def l05c_capped_candidates(spark, d):
+    """Candidates by hits and best score, as many as the user's cohort may have."""
+    h = one_rating(spark, d).groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
+    e = recommend.expand_by_neighbours(_seeds(spark, d), _neighbours(spark, d)).join(h, "user")
+    place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("hits"), F.desc(F.round("best", 9)), "item"))
+    return e.withColumn("place", place).filter(F.col("place") <= recommend.candidate_cap(F.col("history"))).select("user", "item", "place")
+
+
+_VEC = "v AS (SELECT canonical_id AS item, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 GROUP BY 1), tg AS (SELECT canonical_id AS item, list_sort(list_distinct(string_split(min(genres_norm), '|'))) AS tags FROM movies_master WHERE genres_norm <> '' GROUP BY 1)"
+
+
+@query(f"""WITH {_BLEND}, {_VEC}, a AS (SELECT user, item AS anchor FROM (SELECT user_index AS user, canonical_id AS item, row_number() OVER (PARTITION BY user_index ORDER BY rating DESC, rated_at DESC, canonical_id) AS q FROM {_DEDUPED}) WHERE q = 1),
+seen AS (SELECT user_index AS user, list_distinct(flatten(list(tags))) AS seen FROM {_DEDUPED} JOIN tg ON canonical_id = item GROUP BY 1)
+SELECT r.user, r.item, anchor, round(CASE WHEN list_dot_product(vi.x, vi.x) > 0 AND list_dot_product(va.x, va.x) > 0 THEN list_dot_product(vi.x, va.x) / (sqrt(list_dot_product(vi.x, vi.x)) * sqrt(list_dot_product(va.x, va.x))) END, 5) AS cosine, round(sqrt(list_dot_product(vi.x, vi.x)), 4) AS item_norm, n.rank AS neighbour_rank,
+CAST(len(list_intersect(ti.tags, ta.tags)) AS INT) AS shared_genres, round(len(list_intersect(ti.tags, ta.tags)) / CAST(len(list_distinct(list_concat(ti.tags, ta.tags))) AS DOUBLE), 6) AS genre_jaccard, round(1 - len(list_intersect(ti.tags, seen)) / CAST(len(ti.tags) AS DOUBLE), 6) AS new_genre_share, CASE WHEN n.rank IS NOT NULL THEN 'anchor' WHEN popular IS NULL THEN 'content' ELSE 'blend' END AS path
+FROM r JOIN a USING (user) LEFT JOIN g ON g.item = r.item LEFT JOIN v vi ON vi.item = r.item LEFT JOIN v va ON va.item = anchor LEFT JOIN tg ti ON ti.item = r.item LEFT JOIN tg ta ON ta.item = anchor LEFT JOIN n ON n.movie_id = anchor AND n.neighbor_id = r.item LEFT JOIN seen ON seen.user = r.user WHERE r.rank <= 10""")
+def l06b_attribution(spark, d):
+    """Why an item was recommended: its likeness to the user's favourite in vector, genres and neighbour lists."""
+    ratings = one_rating(spark, d)
+    anchors = ordered.first_rows(ratings, ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")]).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("anchor"))
+    v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy(F.col("canonical_id").alias("item")).agg(F.min("embedding").alias("x"))
+    tags = _tags(spark, d).withColumn("tags", F.array_distinct("tags"))
+    seen = ratings.select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item")).join(tags, "item").select("user", F.explode("tags").alias("tag")).distinct().groupBy("user").agg(F.collect_list("tag").alias("seen"))
+    popular = ratings.select(F.col("canonical_id").alias("item"), F.lit(True).alias("rated")).distinct()
+    out = recommend.attributed(_recs(spark, d), anchors, v, tags, _neighbours(spark, d), seen)
+    path = F.when(F.col("neighbour_rank").isNotNull(), "anchor").when(F.col("rated").isNull(), "content").otherwise("blend")
+    return out.join(popular, "item", "left").select("user", "item", "anchor", F.round("cosine", 5).alias("cosine"), F.round("item_norm", 4).alias("item_norm"), "neighbour_rank", "shared_genres", F.round("genre_jaccard", 6).alias("genre_jaccard"), F.round("new_genre_share", 6).alias("new_genre_share"), path.alias("path"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), f AS (SELECT vec_id, [x[1:16], x[17:32], x[33:40], x[41:48], x[49:64]] AS f FROM v),
+u AS (SELECT vec_id, flatten(list_transform([1, 2, 3, 4, 5], lambda i: list_transform(f[i], lambda y: y * [0.5, 0.2, 0.15, 0.05, 0.1][i] / CASE WHEN list_dot_product(f[i], f[i]) > 0 THEN sqrt(list_dot_product(f[i], f[i])) ELSE 1 END))) AS c FROM f)
+SELECT a.vec_id, 64 AS dims, round(list_cosine_similarity(a.c, b.c), 5) AS cosine FROM u a JOIN u b ON b.vec_id = a.vec_id + 1""")
+def l15_composite(spark, d):
+    """Five families of unit length, weighted, turned by an orthogonal projection, of unit length again. The projection
+    keeps angles, which is what SQL checks on neighbouring rows."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    families = [(F.slice(x, at, n), w) for at, n, w in ((1, 16, 0.5), (17, 16, 0.2), (33, 8, 0.15), (41, 8, 0.05), (49, 16, 0.1))]
+    c = load(spark, d, "embeddings").select("vec_id", recommend.composite(families, 64).alias("c"))
+    b = c.select((F.col("vec_id") - 1).alias("vec_id"), F.col("c").alias("next"))
+    return c.join(b, "vec_id").select("vec_id", F.size("c").alias("dims"), F.round(F.aggregate(F.zip_with("c", "next", lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y), 5).alias("cosine"))
+
+
 QUERIES, SQL = query.queries, query.sql
