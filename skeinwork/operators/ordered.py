@@ -61,19 +61,26 @@ def rolling(by: Sequence[str], order: Sequence[Column], rows: int, shift: int =
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(rows - 1) - shift, -shift)
 
 
-def ewm_mean(value: str, by: Sequence[str], order: Sequence[Column], halflife: float, horizon: int = 64) -> Column:
-    """Exponentially weighted mean with adjusted weights.
+def ewm_mean(df: DataFrame, value: str, by: Sequence[str], order: Sequence[Column], halflife: float, name: str, block: int = 512) -> DataFrame:
+    """Adds the exponentially weighted mean with adjusted weights over all rows before and at each one.
 
-    Rows further back than `horizon` carry less than 2 ** -(horizon / halflife) of the weight (at 64 and 3, under 10^-6)
-    and are left out, so a long series costs a bounded list a row and not its length squared. Nulls keep their place but
-    carry no weight.
+    A series is cut into blocks: within a block weights are prefix sums of powers of the row's place, and of what came
+    before only the last block still counts (half a thousand rows further back a weight is below the precision of a double
+    unless the half-life is long, so blocks grow with it). Nulls keep their place but carry no weight.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-horizon, 0)
-    values = F.collect_list(F.struct(F.col(value).alias("v"))).over(w)
     decay = 0.5 ** (1 / halflife)
-    weighted = F.transform(values, lambda x, i: F.when(x["v"].isNotNull(), F.struct((x["v"] * F.pow(F.lit(decay), (F.size(values) - 1 - i).cast("double"))).alias("s"), F.pow(F.lit(decay), (F.size(values) - 1 - i).cast("double")).alias("w"))))
-    total = lambda part: F.aggregate(weighted, F.lit(0.0), lambda a, x: a + F.coalesce(x[part], F.lit(0.0)))
-    return F.try_divide(total("s"), total("w"))
+    block = max(block, int(60 * halflife))
+    w = Window.partitionBy(*by)
+    r = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__b", F.floor(F.col("__i") / block)).withColumn("__p", (F.col("__i") % block).cast("double"))
+    ones = F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    inside = Window.partitionBy(*by, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    # Powers run from the row's place to the middle of its block, so that none leaves the range of a double.
+    grow, shrink = F.pow(F.lit(decay), block / 2 - F.col("__p")), F.pow(F.lit(decay), F.col("__p") - block / 2)
+    last = w.orderBy("__b").rangeBetween(-1, -1)
+    to_end = F.pow(F.lit(decay), block - 1 - F.col("__p"))
+    parts = [F.sum(c * grow).over(inside) * shrink + F.coalesce(F.sum(c * to_end).over(last), F.lit(0.0)) * F.pow(F.lit(decay), F.col("__p") + 1) for c in (x, ones)]
+    return r.withColumn("__s", parts[0]).withColumn("__w", parts[1]).withColumn(name, F.when(F.col("__w") > 0, F.col("__s") / F.col("__w"))).drop("__i", "__b", "__p", "__s", "__w")
 
 
 def average_rank(by: Sequence[str], order: Column, peers: Sequence[str]) -> Column:

@@ -257,3 +257,9 @@ def scenarios(squad: DataFrame, by: Sequence[str], week: str) -> DataFrame:
     boosted = in_best_week("bench_boost", "bench").withColumn("eleven", F.col("eleven") + F.col("bench")).withColumn("bench", zero)
     out = totals.select(*columns).unionByName(absent).unionByName(tripled).unionByName(boosted)
     return out.withColumn("points", F.col("eleven") + F.col("captain_bonus"))
+
+
+def bench_order(squad: DataFrame, by: Sequence[str], points: str, ties: Sequence[str], last: str = "GKP") -> DataFrame:
+    """Adds `place`, 1 to n: by points descending, then `ties`, with the keepers after everyone else."""
+    order = [F.coalesce(F.col("position") == last, F.lit(False)).asc(), F.desc_nulls_last(points), *[F.asc_nulls_last(c) for c in ties]]
+    return squad.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

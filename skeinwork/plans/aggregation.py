@@ -34,10 +34,15 @@ def a03_counts_and_flags(spark, d):
     return m.groupBy("position").agg(F.count("*").alias("rows"), F.count("xp").alias("with_xp"), F.countDistinct("player_id").alias("players"), F.bool_or(F.col("availability_status") == "i").cast("int").alias("any_injured"), F.count_if(F.col("is_home") & (F.col("total_points") > 5)).alias("home_returns"), F.max(level).alias("level"))
 
 
-@query()
+_SKETCHED = ("user_index", "canonical_id", "rating", "rated_at")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS counted, count(DISTINCT {c}) AS exact, true AS within FROM ratings_long_format" for c in _SKETCHED))
 def a05_approximate_distinct(spark, d):
-    """A5: sketches instead of exact counts for very many columns or values."""
-    return load(spark, d, "ratings_long_format").agg(*[F.approx_count_distinct(c).alias(c) for c in ("user_index", "canonical_id", "rating", "rated_at")])
+    """A5: sketches instead of exact counts for very many columns or values; here each is held against the exact count."""
+    one = load(spark, d, "ratings_long_format", *_SKETCHED).agg(*[F.approx_count_distinct(c, 0.01).alias(f"{c}_about") for c in _SKETCHED], *[F.countDistinct(c).alias(c) for c in _SKETCHED])
+    rows = F.array(*[F.struct(F.lit(c).alias("counted"), F.col(c).alias("exact"), (F.abs(F.col(f"{c}_about") - F.col(c)) <= 0.05 * F.col(c)).alias("within")) for c in _SKETCHED])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("SELECT row_id, cities FROM people_df JOIN (SELECT person_uuid, count(DISTINCT person_city) AS cities FROM people_df GROUP BY 1) USING (person_uuid)")

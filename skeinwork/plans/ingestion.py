@@ -10,6 +10,7 @@ from skeinwork.io import load
 from skeinwork.plans.registry import Registry
 from skeinwork.session import cut, shared_dir
 from skeinwork.sources import files
+from skeinwork.sources.http import PagedSource, stub
 
 query = Registry()
 
@@ -84,7 +85,7 @@ def s10_latest_file(spark, d):
 
 @query("SELECT o_orderkey AS id, o_custkey AS buyer_key, o_orderstatus AS buyer_status, 'a,b' AS tags FROM orders")
 def s16_flattened_json(spark, d):
-    """Nested JSON lines flattened."""
+    """Nested JSON lines flattened."""
     at = _at(spark, "json")
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("buyer"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
     o.write.json(at)
@@ -115,4 +116,47 @@ def s11_parquet_orc(spark, d):
     return spark.read.orc(b).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("SELECT count(*) AS rows, round(sum(list_sum(embedding)), 2) AS total, 64 AS dims FROM embeddings")
+def s13_npy(spark, d):
+    """Vectors through .npy shards."""
+    at = _at(spark, "npy")
+    files.write_npy(load(spark, d, "embeddings", "embedding"), "embedding", at)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return files.read_npy(spark, at).agg(F.count("*").alias("rows"), F.round(F.sum(total), 2).alias("total"), F.max(F.size("vector")).alias("dims"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def s14_paged_source(spark, d):
+    """Pages of a web service that fails at first, read with growing waits; here a stub on the driver."""
+    import json
+
+    nations = load(spark, d, "nation", "n_nationkey", "n_name").orderBy("n_nationkey").toPandas().to_dict("records")  # a fixed table of 25 rows
+    spark.dataSource.register(PagedSource)
+    server, url = stub([json.dumps(nations[i : i + 4]) for i in range(0, len(nations), 4)], spark.conf.get("spark.driver.host", "127.0.0.1"))
+    pages = spark.read.format("paged").option("pages", -(-len(nations) // 4)).option("wait", 0.02).option("per_second", 100).load(url)
+    out = cut(pages.select(F.explode(F.from_json("body", "array<struct<n_nationkey: bigint, n_name: string>>")).alias("r")).select("r.*"), "pages")
+    server.shutdown()
+    return out
+
+
+@query("SELECT 'nation' AS \"table\", count(*) AS rows, true AS in_markdown FROM nation UNION ALL SELECT 'orders', count(*), true FROM orders")
+def s21_manifest(spark, d):
+    """A manifest as JSON and as Markdown."""
+    at = _at(spark, "manifest")
+    files.write_manifest(spark, at, {n: load(spark, d, n) for n in ("nation", "orders")})
+    lines = spark.read.text(f"{at}/manifest.md").agg(F.collect_list("value").alias("lines"))
+    entries = spark.read.schema("table string, rows long, columns array<string>").json(f"{at}/manifest.json")
+    return entries.join(lines).select("table", "rows", F.exists("lines", lambda x: x.startswith(F.concat(F.lit("| "), "table", F.lit(" | "), F.col("rows").cast("string")))).alias("in_markdown"))
+
+
+@query("SELECT n_regionkey AS batch, n_nationkey, n_name FROM nation")
+def s22_appended_batches(spark, d):
+    """A table of JSON lines grown batch by batch, one of them delivered twice."""
+    at = _at(spark, "jsonl")
+    n = load(spark, d, "nation", "n_regionkey", "n_nationkey", "n_name")
+    for batch in (0, 1, 2, 3, 4, 1):
+        files.append_jsonl(n.filter(F.col("n_regionkey") == batch).drop("n_regionkey"), at, str(batch))
+    return spark.read.schema("n_nationkey bigint, n_name string, batch bigint").json(at)
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -63,7 +63,10 @@ def q03_foreign_keys(spark, d):
     return q.missing_references(load(spark, d, "fpl_merged", "team_id"), "team_id", load(spark, d, "fpl_teams"), "team_id")
 
 
-@query()
+_TYPES = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END"
+
+
+@query(f"""SELECT w.c AS "column", wanted, found, CASE WHEN found IS NULL THEN 'FAILED' WHEN found = wanted THEN 'PASSED' ELSE 'WARNING' END AS status FROM (VALUES ('player_id', 'bigint'), ('gameweek', 'int'), ('xp', 'double'), ('position', 'string'), ('kickoff_time', 'timestamp_ntz'), ('xg', 'double')) w(c, wanted) LEFT JOIN (SELECT column_name, {_TYPES} AS found FROM (DESCRIBE fpl_merged)) ON column_name = c""")
 def q04_schema(spark, d):
     """Q4 Q12: columns and types."""
     return q.schema_report(load(spark, d, "fpl_merged"), {"player_id": "bigint", "gameweek": "int", "xp": "double", "position": "string", "kickoff_time": "timestamp_ntz", "xg": "double"})
@@ -77,7 +80,7 @@ def q07_shares_and_ranks(spark, d):
     return p.groupBy("season", "gameweek").agg(F.max("r").alias("highest"), F.count("*").alias("rows"), (F.countDistinct("r") == F.max("r")).alias("ranks_complete"), F.round(F.sum("share"), 6).alias("total"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c.lower()}' AS \"column\", count(*) AS total FROM movies_master WHERE list_contains(string_split(genres_norm, '|'), '{c}') HAVING count(*) = 0" for c in ("Drama", "Action", "Musical", "Noir")))
 def q12_empty_indicators(spark, d):
     """Q12: genre columns that nothing has."""
     from skeinwork.functions.arrays import multi_hot
@@ -86,11 +89,18 @@ def q12_empty_indicators(spark, d):
     return q.all_zero_columns(m, m.columns)
 
 
-@query()
+@query("SELECT 'fpl_merged' AS table_name, count(*) AS rows, true AS repeated, true AS sensitive FROM fpl_merged UNION ALL SELECT 'movies_master', count(*), true, true FROM movies_master")
 def q16_fingerprints(spark, d):
-    """Q16: hashes of two tables that a repeated run must reproduce."""
-    a = q.fingerprint(load(spark, d, "fpl_merged")).withColumn("table_name", F.lit("fpl_merged"))
-    return a.unionByName(q.fingerprint(load(spark, d, "movies_master")).withColumn("table_name", F.lit("movies_master")))
+    """Q16: hashes of two tables that a second run over shuffled rows reproduces, and that one changed value changes."""
+
+    def judged(name, key):
+        t = load(spark, d, name)
+        one, again = q.fingerprint(t), q.fingerprint(t.repartition(5, key)).select(F.col("rows").alias("n"), F.col("hash").alias("h"))
+        smallest = t.agg(F.min(key).alias("__least"))
+        changed = q.fingerprint(t.join(F.broadcast(smallest)).withColumn(key, F.when(F.col(key) == F.col("__least"), F.lit(None)).otherwise(F.col(key))).select(*t.columns)).select(F.col("hash").alias("c"))
+        return one.join(again).join(changed).select(F.lit(name).alias("table_name"), "rows", ((F.col("hash") == F.col("h")) & (F.col("rows") == F.col("n"))).alias("repeated"), (F.col("hash") != F.col("c")).alias("sensitive"))
+
+    return judged("fpl_merged", "row_id").unionByName(judged("movies_master", "canonical_id"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column, round(avg(CAST(regexp_matches(trim({c}), '^[£€$]\\s*[0-9]') AS INT)), 6) AS money, round(avg(CAST(regexp_matches(trim({c}), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}})$') AS INT)), 6) AS date, round(avg(CAST(regexp_matches(trim({c}), '^-?[0-9][0-9.,]*$') AS INT)), 6) AS number FROM {t} WHERE {c} IS NOT NULL" for c, t in (("weekly_wages", "fpl_merged"), ("stadium_capacity", "fpl_merged"), ("releasedatetheaters", "rt_movies"))))
@@ -225,7 +235,13 @@ def r05_stream_deduplicated(spark, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+_NEXT = """CASE WHEN bad THEN CASE r.state WHEN 'healthy' THEN 'watching' WHEN 'watching' THEN 'degraded' WHEN 'degraded' THEN 'rolling_back' WHEN 'recovering' THEN 'degraded' ELSE 'rolled_back' END
+  ELSE CASE r.state WHEN 'degraded' THEN 'watching' WHEN 'rolling_back' THEN 'rolled_back' WHEN 'rolled_back' THEN 'recovering' ELSE 'healthy' END END"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT 'c' || user_id % 5 AS component, CAST(floor(epoch(ts)) AS BIGINT) AS minute, value > 100 AS bad, row_number() OVER (PARTITION BY user_id % 5 ORDER BY CAST(floor(epoch(ts)) AS BIGINT), value > 100) AS i FROM events WHERE event_type = 'error'),
+r AS (SELECT DISTINCT component, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS minute, 'healthy' AS state FROM e UNION ALL SELECT e.component, e.i, e.minute, {_NEXT} FROM r JOIN e ON e.component = r.component AND e.i = r.i + 1)
+SELECT component, minute, state FROM r WHERE i > 0""")
 def r12_rollback_states(spark, d):
     """The state machine over each component's daily error readings, as a stream."""
     e = st.read_events(spark, d).filter("event_type = 'error'").select(F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("component"), F.unix_seconds("ts").alias("minute"), (F.col("value") > 100).alias("bad"))

@@ -155,36 +155,45 @@ def j09_semi(spark, d):
     return load(spark, d, "customer", "c_custkey", "c_name").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT DISTINCT canonical_id FROM ratings_long_format r WHERE canonical_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM movies_master m WHERE m.canonical_id = r.canonical_id)")
+@query("SELECT DISTINCT canonical_id FROM id_bridge r WHERE canonical_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM movies_master m WHERE m.canonical_id = r.canonical_id)")
 def j10_anti(spark, d):
-    """Rated films that the master table lacks."""
-    r = load(spark, d, "ratings_long_format", "canonical_id").filter("canonical_id is not null").distinct()
+    """Linked films that the master table lacks."""
+    r = load(spark, d, "id_bridge", "canonical_id").filter("canonical_id is not null").distinct()
     return r.join(load(spark, d, "movies_master", "canonical_id"), "canonical_id", "left_anti")
 
 
 
-@query("""WITH a AS (SELECT DISTINCT canonical_id AS a, lower(trim(title_norm)) AS t, year_norm AS y, runtime_minutes AS r FROM movies_master)
-SELECT x.a, z.a AS b FROM a x JOIN a z ON x.t = z.t AND x.a < z.a AND (x.y IS NULL OR z.y IS NULL OR abs(x.y - z.y) <= 1) AND (x.r IS NULL OR z.r IS NULL OR abs(x.r - z.r) <= 5)""")
+_STEM = "trim(regexp_replace(lower({c}), '( [0-9]+|,.*|:.*|\\(.*)$', ''))"
+_RT_YEAR = "TRY_CAST(nullif(regexp_extract(releasedatetheaters, '(18|19|20)[0-9][0-9]'), '') AS INT)"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT canonical_id, {_STEM.format(c='title_norm')} AS t, year_norm AS y, runtime_minutes AS r FROM movies_master), b AS (SELECT DISTINCT id AS rt_id, {_STEM.format(c='title')} AS t, {_RT_YEAR} AS y, runtimeminutes AS r FROM rt_movies)
+SELECT canonical_id, rt_id, count(*) AS ways FROM a JOIN b USING (t) WHERE t <> '' AND (a.y IS NULL OR b.y IS NULL OR abs(a.y - b.y) <= 1) AND (a.r IS NULL OR b.r IS NULL OR abs(a.r - b.r) <= 5) GROUP BY 1, 2""")
 def j13_band(spark, d):
-    """Films of one title within a year and five minutes."""
-    a = load(spark, d, "movies_master").select(F.col("canonical_id").alias("a"), F.lower(F.trim("title_norm")).alias("t"), F.col("year_norm").alias("y"), F.col("runtime_minutes").alias("r")).distinct()
-    x, z = a.toDF("a", "t", "y", "r"), a.toDF("b", "t2", "y2", "r2").withColumnRenamed("t2", "t")
-    j = rel.band_join(x, z, ["t"], [(x["y"], z["y2"], 1), (x["r"], z["r2"], 5)])
-    return j.filter("a < b").select("a", "b")
+    """Films and records of one title stem within a year and five minutes."""
+    stem = lambda c: F.trim(F.regexp_replace(F.lower(c), r"( [0-9]+|,.*|:.*|\(.*)$", ""))
+    year = F.regexp_extract("releasedatetheaters", "(18|19|20)[0-9][0-9]", 0).try_cast("int")
+    x = load(spark, d, "movies_master").select("canonical_id", stem("title_norm").alias("t"), F.col("year_norm").alias("y"), F.col("runtime_minutes").alias("r")).distinct()
+    z = load(spark, d, "rt_movies").select(F.col("id").alias("rt_id"), stem("title").alias("t"), year.alias("y2"), F.col("runtimeminutes").alias("r2")).distinct()
+    j = rel.band_join(x.filter("t <> ''"), z, ["t"], [(x["y"], z["y2"], 1), (x["r"], z["r2"], 5)])
+    return j.groupBy("canonical_id", "rt_id").agg(F.count("*").alias("ways"))
 
 
 @query()
 def j11_fuzzy_theta(spark, d):
     """Titles of the two film tables, near years, running times within five minutes where known; a record with one
-    best film is matched, one with several is a conflict."""
+    best film is matched, one with several is a conflict. Only lengths that can reach the score are compared. Where a year is
+    missing on either side the titles' sorted words must be equal."""
     m = load(spark, d, "movies_master").select("canonical_id", F.lower(F.trim("title_norm")).alias("t"), F.col("year_norm").alias("y"), F.col("runtime_minutes").alias("r")).distinct()
     from skeinwork.functions.dates import year_of
 
     k = load(spark, d, "rt_movies").select(F.col("id").alias("rt_id"), strings.title_key_without_year(F.col("title")).alias("t2"), year_of(F.col("releasedatetheaters")).alias("y2"), F.col("runtimeminutes").alias("r2")).distinct()
-    first = lambda c: F.substring_index(c, " ", 2)
-    a = m.withColumn("w", first("t")).withColumn("near", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
-    b = k.withColumn("w", first("t2"))
-    pairs = a.join(b, (a["w"] == b["w"]) & (a["near"] == b["y2"])).filter("r is null or r2 is null or abs(r - r2) <= 5")
+    words = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    near = F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1))
+    reach = F.abs(F.length("t") - F.length("t2")) <= 0.1 * (F.length("t") + F.length("t2"))
+    dated = m.filter("y is not null").withColumn("near", near).join(k.filter("y2 is not null"), F.col("near") == F.col("y2")).filter(reach).drop("near")
+    undated = m.withColumn("w", words("t")).join(k.withColumn("w", words("t2")), "w").filter("y is null or y2 is null").drop("w")
+    pairs = dated.unionByName(undated).filter("r is null or r2 is null or abs(r - r2) <= 5")
     scored = pairs.withColumn("score", rel.fuzzy_score(F.col("t"), F.col("t2"), "token_sort")).filter("score >= 90")
     best = Window.partitionBy("rt_id").orderBy(F.desc("score"))
     top = scored.withColumn("rk", F.rank().over(best)).filter("rk = 1").groupBy("rt_id").agg(F.countDistinct("canonical_id").alias("films"), F.min("canonical_id").alias("canonical_id"), F.max("score").alias("score"))
@@ -261,12 +270,14 @@ def j22_overlap(spark, d):
     return shared.join(r.agg(F.count("*").alias("rated"))).join(m.agg(F.count("*").alias("known")))
 
 
-@query("""SELECT r_name, n_name, c_mktsegment, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(DISTINCT p_brand) AS brands, count(DISTINCT s_nationkey) AS supplier_nations FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3""")
+@query("""SELECT r_name, n_name, c_mktsegment, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue, count(DISTINCT p_brand) AS brands, count(DISTINCT s_nationkey) AS supplier_nations, coalesce(max(e.n), 0) AS busiest FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON user_id = c_custkey GROUP BY 1, 2, 3""")
 def j23_snowflake(spark, d):
     """Eight tables."""
     t = {n: load(spark, d, n) for n in ("region", "nation", "customer", "orders", "lineitem", "part", "supplier")}
     j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.groupBy("r_name", "n_name", "c_mktsegment").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("revenue"), F.countDistinct("p_brand").alias("brands"), F.countDistinct("s_nationkey").alias("supplier_nations"))
+    e = load(spark, d, "events", "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+    j = j.join(e, F.col("c_custkey") == F.col("user_id"), "left")
+    return j.groupBy("r_name", "n_name", "c_mktsegment").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("revenue"), F.countDistinct("p_brand").alias("brands"), F.countDistinct("s_nationkey").alias("supplier_nations"), F.coalesce(F.max("n"), F.lit(0)).alias("busiest"))
 
 
 @query("""WITH m AS (SELECT canonical_id, max(num_votes) AS votes FROM movies_master GROUP BY 1), r AS (SELECT canonical_id, avg(CAST(rating AS DOUBLE)) AS rating FROM ratings_long_format WHERE rating BETWEEN 0.5 AND 5 AND NOT isnan(rating) GROUP BY 1), n AS (SELECT movie_id AS canonical_id, count(*) AS links FROM movies_neighbors_k50 GROUP BY 1)

@@ -34,10 +34,10 @@ def w01_lags_and_rolling(spark, d):
 
 
 @query(f"""WITH p AS (SELECT row_id, player_id, xp, row_number() OVER ({_W}) AS i FROM {PANEL_SQL})
-SELECT a.row_id, round(sum(b.xp * pow(0.5, (a.i - b.i) / 3.0)) / sum(CASE WHEN b.xp IS NOT NULL THEN pow(0.5, (a.i - b.i) / 3.0) END), 5) AS ewm FROM p a JOIN p b ON a.player_id = b.player_id AND b.i BETWEEN a.i - 64 AND a.i GROUP BY a.row_id""")
+SELECT a.row_id, round(sum(b.xp * pow(0.5, (a.i - b.i) / 3.0)) / sum(CASE WHEN b.xp IS NOT NULL THEN pow(0.5, (a.i - b.i) / 3.0) END), 5) AS ewm FROM p a JOIN p b ON a.player_id = b.player_id AND b.i <= a.i GROUP BY a.row_id""")
 def w05_ewm(spark, d):
     """W5."""
-    return panel(spark, d).select("row_id", F.round(ordered.ewm_mean("xp", BY, order(), 3.0), 5).alias("ewm"))
+    return ordered.ewm_mean(panel(spark, d), "xp", BY, order(), 3.0, "ewm").select("row_id", F.round("ewm", 5).alias("ewm"))
 
 
 @query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season DESC, gameweek DESC) AS r, avg(total_points) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS trail, count(*) OVER (PARTITION BY player_id) AS n FROM {PANEL_SQL})
@@ -76,14 +76,23 @@ def w10_form(spark, d):
     return f.select("team", "match_id", "ppg", "goal_difference", "goals_for", "goals_against", "recent_points", "match_no")
 
 
-@query()
+_SEEN = lambda m, t: f"coalesce(map_extract(r.{m}, m.{t})[1], 1500.0)"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT match_id, home, away, home_goals, away_goals, s_nationkey AS league, row_number() OVER (PARTITION BY s_nationkey ORDER BY day, match_id) AS i FROM {MATCHES_SQL} JOIN supplier ON s_suppkey = home),
+r AS (SELECT DISTINCT league, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS match_id, CAST(0 AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS a2, CAST(0 AS DOUBLE) AS b2, MAP(CAST([] AS BIGINT[]), CAST([] AS DOUBLE[])) AS ea, MAP(CAST([] AS BIGINT[]), CAST([] AS DOUBLE[])) AS eb FROM m
+UNION ALL SELECT league, i, match_id, a1, b1, a2, b2, map_concat(ea, MAP([home, away], [a1 + s1, b1 - s1])), map_concat(eb, MAP([home, away], [a2 + s2, b2 - s2])) FROM (
+  SELECT *, 20 * (ln(abs(home_goals - away_goals) + 1) + 1) * (res - 1 / (1 + pow(10, (b1 - a1 - 60) / 400))) AS s1, 32 * (res - 1 / (1 + pow(10, (b2 - a2) / 400))) AS s2 FROM (
+    SELECT m.league, m.i, CAST(m.match_id AS BIGINT) AS match_id, CAST(m.home AS BIGINT) AS home, CAST(m.away AS BIGINT) AS away, home_goals, away_goals, r.ea, r.eb, {_SEEN('ea', 'home')} AS a1, {_SEEN('ea', 'away')} AS b1, {_SEEN('eb', 'home')} AS a2, {_SEEN('eb', 'away')} AS b2, CASE WHEN home_goals > away_goals THEN 1.0 WHEN home_goals = away_goals THEN 0.5 ELSE 0.0 END AS res
+    FROM r JOIN m ON m.league = r.league AND m.i = r.i + 1)))
+SELECT league, match_id, round(a1, 4) AS home_elo_goals, round(b1, 4) AS away_elo_goals, round(a2, 4) AS home_elo, round(b2, 4) AS away_elo FROM r WHERE i > 0""")
 def w12_elo(spark, d):
     """Both variants, a league for each nation of the home side."""
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("home"), F.col("s_nationkey").alias("league"))
     m = matches(spark, d).join(s, "home")
     a = sports.elo(m, "league").withColumnsRenamed({"home_elo": "home_elo_goals", "away_elo": "away_elo_goals"})
     b = sports.elo(m, "league", k=32.0, home_edge=0.0, goals_matter=False)
-    return a.join(b, ["league", "match_id"])
+    return a.join(b, ["league", "match_id"]).select("league", "match_id", *[F.round(c, 4).alias(c) for c in ("home_elo_goals", "away_elo_goals", "home_elo", "away_elo")])
 
 
 @query(f"""SELECT row_id, rank() OVER w + (count(*) OVER (PARTITION BY season, gameweek, total_points) - 1) / 2.0 AS average_place, row_number() OVER (PARTITION BY season, gameweek ORDER BY total_points DESC, player_id) AS place FROM {PANEL_SQL} WINDOW w AS (PARTITION BY season, gameweek ORDER BY total_points DESC)""")
@@ -173,12 +182,19 @@ def t06_frequent_categories(spark, d):
 
 @query("SELECT canonical_id, link_method, match_score FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY CASE link_method WHEN 'via_links' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END, match_score DESC NULLS LAST, link_method, movieid, tconst, tmdbid, linked_at) AS r FROM (SELECT * REPLACE (CASE WHEN isnan(match_score) THEN NULL ELSE match_score END AS match_score) FROM id_bridge) WHERE canonical_id IS NOT NULL) WHERE r = 1")
 def t07_dedupe_by_priority(spark, d):
-    """T7 T8 T15."""
+    """T7 T8."""
     b = load(spark, d, "id_bridge").filter("canonical_id is not null").withColumn("match_score", F.when(~F.isnan("match_score"), F.col("match_score")))
     rank = F.when(F.col("link_method") == "via_links", 0).when(F.col("link_method") == "fuzzy", 1).otherwise(2)
     return ordered.first_rows(b, ["canonical_id"], [rank.asc(), F.desc_nulls_last("match_score"), F.asc_nulls_last("link_method"), F.asc_nulls_last("movieid"), F.asc_nulls_last("tconst"), F.asc_nulls_last("tmdbid"), F.asc_nulls_last("linked_at")]).select("canonical_id", "link_method", "match_score")
 
 
+@query(f"""SELECT row_id, row_number() OVER (PARTITION BY season, gameweek, team_id ORDER BY position = 'GKP', xp DESC NULLS LAST, player_name, row_id) AS place FROM {PANEL_SQL} WHERE team_id IS NOT NULL AND position IS NOT NULL""")
+def t15_bench_order(spark, d):
+    """Each club's players of a week as a bench: by expected points, then name, keepers last."""
+    p = panel(spark, d).filter("team_id is not null and position is not null")
+    return sports.bench_order(p, ["season", "gameweek", "team_id"], "xp", ["player_name", "row_id"]).select("row_id", "place")
+
+
 @query("SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM movies_master)) AS distinct_rows, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM movies_master GROUP BY canonical_id HAVING count(*) > 1)) AS in_doubled_keys FROM movies_master")
 def t09_duplicates(spark, d):
     """T9 T10."""

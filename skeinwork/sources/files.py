@@ -134,3 +134,68 @@ class NpySource(DataSource):
 
     def reader(self, schema):
         return NpyReader(self.options["path"], int(self.options.get("rows", 65_536)))
+
+
+def write_npy(df: DataFrame, vector: str, uri: str) -> int:
+    """One .npy shard a task, written through the file system that the URI names; returns the number of rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        parts = [np.stack(b[vector].to_numpy()).astype(np.float32) for b in batches if len(b)]
+        if parts:
+            system, path = fs.FileSystem.from_uri(uri)
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/{uuid.uuid4().hex}.npy") as out:
+                np.save(out, np.concatenate(parts))
+            yield pd.DataFrame({"rows": [sum(map(len, parts))]})
+
+    return df.select(vector).mapInPandas(run, "rows long").agg(F.sum("rows")).first()[0] or 0
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, vector) of two-dimensional .npy shards, through Spark's own file systems. A shard is read by one task and
+    must be under 2 GB; the `npy` source below reads a larger file in ranges where it lies on a mounted folder."""
+
+    def run(batches: Iterator) -> Iterator:
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                x = np.load(io.BytesIO(content))
+                for at in range(0, len(x), 8192):
+                    part = x[at : at + 8192]
+                    yield pd.DataFrame({"file": name, "row": range(at, at + len(part)), "vector": list(part.astype(np.float32))})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, row long, vector array<float>")
+
+
+def append_jsonl(df: DataFrame, path: str, batch: str) -> None:
+    """Adds one batch to a table of JSON lines. A batch that is written again replaces itself, so a retry adds nothing twice."""
+    df.write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small driver-side document on any file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def write_manifest(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """manifest.json and manifest.md: name, rows and columns of each table."""
+    import json
+
+    entries = [{"table": n, "rows": df.count(), "columns": df.columns} for n, df in sorted(tables.items())]
+    write_text(spark, f"{path}/manifest.json", json.dumps(entries))
+    lines = ["| table | rows | columns |", "|-|-|-|", *[f"| {e['table']} | {e['rows']} | {', '.join(e['columns'])} |" for e in entries]]
+    write_text(spark, f"{path}/manifest.md", "\n".join(lines) + "\n")

@@ -46,7 +46,7 @@ def next_state(state: str, bad: bool) -> str:
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get[0] if state.exists else "healthy"
-    rows = pd.concat(list(batches)).sort_values("minute", kind="stable")
+    rows = pd.concat(list(batches)).sort_values(["minute", "bad"], kind="stable")
     out = []
     for r in rows.itertuples():
         now = next_state(now, bool(r.bad))

@@ -136,8 +136,16 @@ def test_positions_and_ranks(spark):
 
 def test_ewm_golden(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 2.0)], "t int, x double")
-    got = [r.e for r in df.select("t", ordered.ewm_mean("x", [], [F.col("t")], 3.0).alias("e")).orderBy("t").collect()]
+    got = [r.e for r in ordered.ewm_mean(df, "x", [], [F.col("t")], 3.0, "e").orderBy("t").collect()]
     assert got == pytest.approx([1.0, 2.1150133319511157, 2.067558952178453])
+    series = [(g, t, None if t % 7 == 3 else (t * 37 % 11) - 3.0) for g in ("a", "b") for t in range(700)]
+    rows = ordered.ewm_mean(spark.createDataFrame(series, "g string, t int, x double"), "x", ["g"], [F.col("t")], 40.0, "e", block=64).filter("g = 'a'").orderBy("t").collect()
+    s = w = 0.0
+    for r in rows:
+        s, w = s * 0.5 ** (1 / 40), w * 0.5 ** (1 / 40)
+        if r.x is not None:
+            s, w = s + r.x, w + 1
+        assert r.e == pytest.approx(s / w, abs=1e-9)
 
 
 def test_fuzzy_scores():
