@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from skeinwork.functions.strings import bucket_of
 from skeinwork.operators.ordered import ranks
+from skeinwork.operators.recommend import exact_knn
+from skeinwork.operators.sports import uniform
 
 
 # --- factorisation ---------------------------------------------------------------------------------------------------
@@ -164,3 +166,39 @@ def best_temperature(df: DataFrame, p: str, label: str, grid: Sequence[float] =
 
     row = df.agg(*[loss(t).alias(str(i)) for i, t in enumerate(grid)]).first()
     return min(zip(row, grid, strict=True))[1]
+
+
+# --- oversampling, explanation ---------------------------------------------------------------------------------------
+
+
+def oversampled(rows: DataFrame, key: str, features: str, copies: int, k: int = 5) -> DataFrame:
+    """(key, copy, neighbor, features): `copies` synthetic rows a row of a rare class, on the line to one of its k nearest.
+
+    Neighbour and place on the line are drawn by hash, the same on every run. A row without neighbours gets none. `rows` has
+    one class only and unique keys; the search for neighbours is `exact_knn`, in blocks.
+    """
+    near = exact_knn(rows.select(key, features), key, features, k, metric="euclid").select(F.col("id").alias(key), "neighbor", "rank")
+    lists = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))).alias("__near"))
+    made = rows.select(key, F.col(features).alias("__a")).join(lists, key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    pick = F.floor(uniform(F.col(key), F.col("copy"), F.lit("which")) * F.size("__near")).cast("int")
+    made = made.withColumn("neighbor", F.element_at("__near", pick + 1)["neighbor"])
+    made = made.join(rows.select(F.col(key).alias("neighbor"), F.col(features).alias("__b")), "neighbor").withColumn("__u", uniform(F.col(key), F.col("copy"), F.lit("where")))
+    gaps = F.array_repeat(F.col("__u"), F.size("__a"))
+    step = F.zip_with(F.zip_with("__a", "__b", lambda a, b: b - a), gaps, lambda d, u: d * u)
+    return made.select(key, "copy", "neighbor", F.zip_with("__a", step, lambda a, d: a + d).alias(features))
+
+
+def linear_shapley(rows: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Adds `shap_<feature>`, the exact Shapley values of a linear score (or of the log odds of a logistic model) with
+    independent features: weight times distance from the mean. A missing feature stands at the mean. Their sum is the
+    row's score less the mean score."""
+    means = rows.agg(*[F.avg(c).alias(f"__m_{c}") for c in weights])
+    out = rows.join(F.broadcast(means))
+    return out.withColumns({f"shap_{c}": F.coalesce(F.lit(w) * (F.col(c) - F.col(f"__m_{c}")), F.lit(0.0)) for c, w in weights.items()}).drop(*means.columns)
+
+
+def network(inputs: int, hidden: Sequence[int] = (16, 8), rounds: int = 60, seed: int = 7):
+    """A feed-forward network of two classes, trained by Spark on distributed rows (features, label)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=rounds, seed=seed, blockSize=128)

@@ -20,11 +20,13 @@ from skeinwork.operators.ordered import first_rows
 # --- building blocks -------------------------------------------------------------------------------------------------
 
 
-def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """(id, neighbor, score, rank) by cosine over all pairs, in blocks: both sides are cut into blocks, each pair of blocks
-    is one matrix product that keeps its k best a row, and the partial lists are merged. Quadratic by nature: for
-    collections beyond some hundred thousand vectors use an index.
+def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = 2048, metric: str = "cosine") -> DataFrame:
+    """(id, neighbor, score, rank) by cosine (or `euclid`: minus the distance) over all pairs, in blocks of about
+    `block_rows`: each pair of blocks is one matrix product that keeps its k best a row, and the partial lists are merged.
+    A task's memory does not grow with the table. Quadratic by nature: for collections beyond some hundred thousand vectors
+    use an index.
     """
+    blocks = max(1, -(-vectors.count() // block_rows))
     v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = v.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = v.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.col("b").alias("rc")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -33,18 +35,21 @@ def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int = 8
         out = {"id": [], "neighbor": [], "score": []}
         if len(a) and len(b):
             x, y = (np.stack(z).astype(np.float64) for z in (a["v"], b["rv"]))
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
             names, other = a["id"].to_numpy(), b["rid"].to_numpy()
-            s = np.round(x @ y.T, 9)
+            if metric == "cosine":
+                x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+                s = np.round(x @ y.T, 9)
+            else:
+                s = np.round(-np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)), 9)
             s[names[:, None] == other[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(other, s.shape), -s), axis=1)[:, :k]
-            for i, row in enumerate(order):
-                for j in row:
-                    if np.isfinite(s[i, j]):
-                        out["id"].append(names[i])
-                        out["neighbor"].append(other[j])
-                        out["score"].append(s[i, j])
-        return pd.DataFrame(out, dtype=object).astype({"score": "float64"})
+            # All that reach the k-th best; only these are sorted, ties by name.
+            least = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else -np.inf
+            i, j = np.nonzero((s >= least) & np.isfinite(s))
+            order = np.lexsort((other[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+            out = {"id": names[i[top]], "neighbor": other[j[top]], "score": s[i[top], j[top]]}
+        return pd.DataFrame(out).astype({"score": "float64"})
 
     kind = dict(v.dtypes)["id"]
     part = left.groupBy("b", "c").cogroup(right.groupBy("rb", "rc")).applyInPandas(run, f"id {kind}, neighbor {kind}, score double")

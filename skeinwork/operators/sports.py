@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,60 +90,70 @@ QUOTAS = {"GKP": 2, "DEF": 5, "MID": 5, "FWD": 3}
 FORMATIONS = ((3, 4, 3), (3, 5, 2), (4, 3, 3), (4, 4, 2), (4, 5, 1), (5, 2, 3), (5, 3, 2), (5, 4, 1))
 
 
-def pool_for_squad(players: DataFrame, by: Sequence[str], per_position: int = 40) -> DataFrame:
-    """Players that can be in a best squad: per position those of most points and the cheapest; a bounded pool."""
-    best = Window.partitionBy(*by, "position").orderBy(F.desc("points"), "price", "player_id")
-    cheap = Window.partitionBy(*by, "position").orderBy("price", F.desc("points"), "player_id")
-    p = players.withColumn("__a", F.row_number().over(best)).withColumn("__b", F.row_number().over(cheap))
-    return p.filter((F.col("__a") <= per_position) | (F.col("__b") <= per_position // 4)).drop("__a", "__b")
+def undominated(players: list[tuple], quotas: dict[str, int], per_club: int) -> list[tuple]:
+    """Players without those who are in no squad that cannot be bettered or equalled without them.
 
-
-def _best_squad(players: list[tuple], budget: int, quotas: dict[str, int], per_club: int) -> list[tuple]:
-    """Exact by branch and bound (the best found so far after 400,000 nodes): price multipliers give an upper bound, depth first over the best ratio first.
-
-    players: (points, price in tenths, position, club, id).
+    A player is left out if enough players of the position have as many points for no more money: however many of them the
+    squad holds and whatever clubs it has filled, one remains to take the player's place.
+    """
+    squad = sum(quotas.values())
+    kept = []
+    for pos, n in quotas.items():
+        better: list[tuple] = []
+        for p in sorted((p for p in players if p[2] == pos), key=lambda p: (-p[0], p[1], str(p[4]))):
+            over = [q for q in better if q[1] <= p[1]]
+            clubs: dict = {}
+            for q in over:
+                clubs[q[3]] = clubs.get(q[3], 0) + 1
+            # The other players fill at most so many clubs, the player's own has a place once the player goes.
+            full = sorted((c for club, c in clubs.items() if club != p[3]), reverse=True)[: (squad - 1) // per_club]
+            if len(over) - sum(full) < n:
+                kept.append(p)
+            better.append(p)
+    return kept
+
+
+def _best_squad(players: list[tuple], budget: int, quotas: dict[str, int], per_club: int, most_nodes: int = 2_000_000) -> tuple[list[tuple], bool]:
+    """The best squad by branch and bound, and whether that is proven: after `most_nodes` steps it is the best found so far.
+
+    Price multipliers give an upper bound; depth first over the best ratio first. players: (points, price in tenths,
+    position, club, id).
     """
-    order = {pos: sorted((p for p in players if p[2] == pos), key=lambda p: (-p[0], p[1], p[4])) for pos in quotas}
+    order = {pos: [p for p in undominated(players, quotas, per_club) if p[2] == pos] for pos in quotas}
     if any(len(order[pos]) < n for pos, n in quotas.items()):
-        return []
+        return [], True
     best: tuple[float, list[tuple]] = (-1.0, [])
 
-    def relaxed(multiplier: float) -> tuple[float, dict[str, list[tuple]]]:
-        total, picks = multiplier * budget, {}
-        for pos, n in quotas.items():
-            ranked = sorted(order[pos], key=lambda p: (-(p[0] - multiplier * p[1]), p[4]))[:n]
-            picks[pos] = ranked
-            total += sum(p[0] - multiplier * p[1] for p in ranked)
-        return total, picks
+    def relaxed(multiplier: float) -> float:
+        return multiplier * budget + sum(sum(sorted((p[0] - multiplier * p[1] for p in order[pos]), reverse=True)[:n]) for pos, n in quotas.items())
 
     low, high = 0.0, 2.0
     for _ in range(40):
         a, b = low + (high - low) / 3, high - (high - low) / 3
-        low, high = (low, b) if relaxed(a)[0] <= relaxed(b)[0] else (a, high)
+        low, high = (low, b) if relaxed(a) <= relaxed(b) else (a, high)
     multiplier = (low + high) / 2
-    flat = [(pos, sorted(order[pos], key=lambda p: (-(p[0] - multiplier * p[1]), p[4])), n) for pos, n in quotas.items()]
-    tails = {}
-    for depth in range(len(flat)):
-        tails[depth] = sum(sum(p[0] - multiplier * p[1] for p in ranked[:n]) for _, ranked, n in flat[depth:])
+    flat = [(sorted(order[pos], key=lambda p: (-(p[0] - multiplier * p[1]), str(p[4]))), n) for pos, n in quotas.items()]
+    worth = [[p[0] - multiplier * p[1] for p in ranked] for ranked, _ in flat]
+    sums = [[0.0, *accumulate(w)] for w in worth]
+    tails = [sum(sums[i][n] for i, (_, n) in enumerate(flat) if i >= depth) for depth in range(len(flat) + 1)]
     nodes = 0
 
     def walk(depth: int, at: int, left: int, money: int, clubs: dict, value: float, chosen: list[tuple]) -> None:
         nonlocal best, nodes
         nodes += 1
-        if nodes > 400_000:
+        if nodes > most_nodes:
             return
         if left == 0:
             if depth + 1 == len(flat):
                 if value > best[0] + 1e-9:
                     best = (value, list(chosen))
                 return
-            walk(depth + 1, 0, flat[depth + 1][2], money, clubs, value, chosen)
+            walk(depth + 1, 0, flat[depth + 1][1], money, clubs, value, chosen)
             return
-        ranked = flat[depth][1]
+        ranked = flat[depth][0]
         if len(ranked) - at < left:
             return
-        rest = sum(p[0] - multiplier * p[1] for p in ranked[at : at + left]) + (tails[depth + 1] if depth + 1 < len(flat) else 0.0)
-        if value + rest + multiplier * money <= best[0] + 1e-9:
+        if value + sums[depth][at + left] - sums[depth][at] + tails[depth + 1] + multiplier * money <= best[0] + 1e-9:
             return
         p = ranked[at]
         if p[1] <= money and clubs.get(p[3], 0) < per_club:
@@ -153,25 +164,27 @@ def _best_squad(players: list[tuple], budget: int, quotas: dict[str, int], per_c
             clubs[p[3]] -= 1
         walk(depth, at + 1, left, money, clubs, value, chosen)
 
-    walk(0, 0, flat[0][2], budget, {}, 0.0, [])
-    return best[1]
+    walk(0, 0, flat[0][1], budget, {}, 0.0, [])
+    return best[1], nodes <= most_nodes
 
 
 def squads(players: DataFrame, by: Sequence[str], budget: float = 100.0, per_club: int = 3, quotas: dict[str, int] | None = None) -> DataFrame:
-    """(by, player_id, position, points, price) of the squad of most points of each group within budget, quotas and clubs.
+    """(by, player_id, position, points, price, team_id, proven) of the squad of most points of each group within budget,
+    quotas and clubs; none for a group that cannot fill one. All players of a group are considered, only those who are
+    dominated are left out. `proven`: the search ended, so no squad is better.
 
-    players: by, player_id, team_id, position, price, points. Groups are solved apart, each on its bounded pool.
+    players: by, player_id, team_id, position, price, points. Groups are solved apart.
     """
     quotas = quotas or QUOTAS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(float(r.points), int(round(r.price * 10)), r.position, r.team_id, r.player_id) for r in pdf.itertuples()]
-        chosen = {p[4] for p in _best_squad(rows, int(round(budget * 10)), quotas, per_club)}
-        return pdf[pdf["player_id"].isin(chosen)][[*by, "player_id", "position", "points", "price", "team_id"]]
+        found, proven = _best_squad(rows, int(round(budget * 10)), quotas, per_club)
+        chosen = {p[4] for p in found}
+        return pdf[pdf["player_id"].isin(chosen)][[*by, "player_id", "position", "points", "price", "team_id"]].assign(proven=proven)
 
-    pool = pool_for_squad(players, by)
     kinds = dict(players.dtypes)
-    return pool.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]))
+    return players.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]) + ", proven boolean")
 
 
 def best_eleven(squad: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -195,7 +208,7 @@ def captains(eleven: DataFrame, by: Sequence[str], confidence: str = "confidence
 
 
 def greedy_squad(players: DataFrame, by: Sequence[str], budget: float, quotas: dict[str, int], per_club: int = 3) -> DataFrame:
-    """Players by points for money, each taken if quota, club and budget (keeping the cheapest rest affordable) allow; every player of a group is seen."""
+    """Players by points for money, each taken if quota, club and budget (keeping the cheapest rest affordable) allow; every player of a group is seen. A group that cannot fill a squad gets none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["points", "price", "player_id"], ascending=[False, True, True], kind="stable")
@@ -211,7 +224,7 @@ def greedy_squad(players: DataFrame, by: Sequence[str], budget: float, quotas: d
                     need, money = rest, money - r.price
                     clubs[r.team_id] = clubs.get(r.team_id, 0) + 1
                     chosen.append(r.Index)
-        return pdf.loc[chosen, [*by, "player_id", "position", "points", "price", "team_id"]]
+        return pdf.loc[[] if any(need.values()) else chosen, [*by, "player_id", "position", "points", "price", "team_id"]]
 
     kinds = dict(players.dtypes)
     return players.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*by, "player_id", "position", "points", "price", "team_id"]))

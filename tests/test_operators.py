@@ -218,8 +218,23 @@ def test_best_squad_beats_brute_force():
     players = [(random.random() * 10, random.randint(40, 90), pos, random.randint(1, 4), i) for i, pos in enumerate("AAAAABBBBBB")]
     quotas, budget = {"A": 2, "B": 2}, 240
     best = max((sum(p[0] for p in a + b) for a in itertools.combinations([p for p in players if p[2] == "A"], 2) for b in itertools.combinations([p for p in players if p[2] == "B"], 2) if sum(p[1] for p in a + b) <= budget and max([p[3] for p in a + b].count(c) for c in range(1, 5)) <= 1), default=None)
-    got = sports._best_squad(players, budget, quotas, 1)
-    assert best is not None and sum(p[0] for p in got) == pytest.approx(best)
+    got, proven = sports._best_squad(players, budget, quotas, 1)
+    assert best is not None and proven and sum(p[0] for p in got) == pytest.approx(best)
+
+
+def test_dominated_players_are_in_no_better_squad():
+    import itertools
+    import random
+
+    random.seed(6)
+    quotas, left = {"A": 1, "B": 2}, 0
+    for _ in range(60):
+        players = [(float(random.randint(1, 6)), random.randint(1, 6), pos, random.randint(1, 3), i) for i, pos in enumerate("AAAAAAAABBBBBBBBBB")]
+        value = lambda pool: max((sum(p[0] for p in s) for a in (p for p in pool if p[2] == "A") for b in itertools.combinations([p for p in pool if p[2] == "B"], 2) for s in [(a, *b)] if sum(p[1] for p in s) <= 8 and max([p[3] for p in s].count(c) for c in range(1, 4)) <= 2), default=None)
+        kept = sports.undominated(players, quotas, 2)
+        assert value(kept) == value(players)
+        left += len(players) - len(kept)
+    assert left > 100
 
 
 def test_greedy_squad_sees_every_player(spark):
@@ -233,8 +248,8 @@ def test_squads_of_every_week(spark):
 
     sf = "/root/testdata/sf0.001"
     weeks = {tuple(r) for r in modelling._players(spark, sf).select("season", "gameweek").distinct().collect()}
-    panel_weeks = {tuple(r) for r in spark.read.parquet(f"{sf}/fpl_merged.parquet").filter("xp is not null and team_id is not null").select("season", "gameweek").distinct().collect()}
-    assert weeks == panel_weeks and len({w for _, w in weeks}) > 1
+    panel_weeks = {tuple(r) for r in spark.read.parquet(f"{sf}/fpl_merged.parquet").filter("xp is not null and team_id is not null and price is not null").select("season", "gameweek").distinct().collect()}
+    assert weeks == panel_weeks | {("latest", 0)} and len({w for _, w in weeks}) > 1
     assert {(r.season, r.gameweek) for r in modelling.l30_greedy_squads(spark, sf).collect()} <= weeks
 
 
@@ -252,6 +267,44 @@ def test_scenarios_use_the_bench(spark):
     assert got["baseline", 1] == (76, 7, 20) and got["absence", 1] == (59, 4, 9)
 
 
+def test_greedy_squad_is_whole_or_none(spark):
+    players = spark.createDataFrame([(1, i, i, "A", 5.0, 1.0) for i in range(3)] + [(2, 9, 9, "A", 5.0, 1.0)], "g int, player_id int, team_id int, position string, price double, points double")
+    assert {r.g for r in sports.greedy_squad(players, ["g"], 20.0, {"A": 2}).collect()} == {1}
+
+
+def test_exact_knn_in_small_blocks(spark):
+    from skeinwork.operators import recommend
+
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    for metric in ("cosine", "euclid"):
+        got = [sorted(map(tuple, recommend.exact_knn(df, "id", "v", 7, rows_, metric).collect())) for rows_ in (2048, 9)]
+        assert got[0] == got[1] and len(got[0]) == 280
+    assert recommend.exact_knn(df.limit(0), "id", "v", 3).count() == 0
+
+
+def test_shapley_values_add_up(spark):
+    from skeinwork.operators import learning
+
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, None), (3, 5.0, 4.0)], "id int, a double, b double")
+    got = {r.id: r.shap_a + r.shap_b for r in learning.linear_shapley(df, {"a": 2.0, "b": -1.0}).collect()}
+    assert got == pytest.approx({1: -4 + 1, 2: 0, 3: 4 - 1})
+
+
+def test_paged_source_retries(spark):
+    import urllib.error
+
+    from skeinwork.sources import http
+
+    waits = []
+    server, url = http.stub(["one"], fail_first=3)
+    assert http.fetch(f"{url}?page=1", 3, 0.5, 1.8, sleep=waits.append) == "one" and waits == pytest.approx([0.5, 0.9, 1.62])
+    with pytest.raises(urllib.error.HTTPError):
+        http.fetch(f"{url}?page=2", 3, sleep=waits.append)
+    assert len(waits) == 3  # an unknown page is not asked for again
+    server.shutdown()
+
+
 def test_every_season_is_simulated(spark):
     from skeinwork.plans import modelling
 
