@@ -1,9 +1,10 @@
 """Filling missing values from similar records: hash-blocked nearest-neighbour hot-deck.
 
-Donors are not compared in pairs. A recipient's distance to a donor is the number of observed features given up:
-each level of a `Fill` is a hash block over mixed features (categories as they are, numbers in bins), ordered from
-the nearest to the farthest. The nearest donors are those of the first level whose block has any. Within the block
-the weighted majority (categories) or the weighted median (numbers) of the donors' values is copied.
+Donors are not compared in pairs. The distance of a recipient to a donor is the weight of the features on which they do not
+agree (categories as they are, numbers in bins; a feature that is not observed agrees with nothing). Donors that agree on a
+given set of features are one hash block, so a recipient's nearest donors are those of the block of the set that gives up
+least and has any: `by_distance` lists the sets from near to far. Within the block the weighted majority (categories) or the
+weighted median (numbers) of the donors' values is copied, and a donor that has it is named.
 """
 
 from __future__ import annotations
@@ -21,13 +22,25 @@ from skeinwork.session import cut
 
 @dataclass(frozen=True)
 class Fill:
-    """`value` is null where the cell is missing. Each level: feature expressions, null if not observed."""
+    """`value` is null where the cell is missing. Each level, near to far: feature expressions, null if not observed.
+    `distances`: what each level gives up; its number if there are none."""
 
     name: str
     value: Column
     levels: Sequence[Sequence[Column]]
     kind: str = "category"
     weight: Column = field(default_factory=lambda: F.lit(1))
+    distances: Sequence[float] = ()
+
+
+def by_distance(required: Sequence[Column], optional: Sequence[tuple[Column, float]]) -> tuple[list[list[Column]], list[float]]:
+    """Levels and distances for a `Fill`: all sets of the optional features with the required ones, by the weight given up."""
+    sets = []
+    for mask in range(1 << len(optional)):
+        kept = [c for i, (c, _) in enumerate(optional) if mask >> i & 1]
+        sets.append((sum(w for i, (_, w) in enumerate(optional) if not mask >> i & 1), -mask, [*required, *kept]))
+    sets.sort(key=lambda x: x[:2])
+    return [features for _, _, features in sets], [float(w) for w, _, _ in sets]
 
 
 def binned(c: Column, width: float) -> Column:
@@ -57,35 +70,55 @@ def _block(features: Sequence[Column]) -> Column:
     return F.when(~F.exists(F.array(*strings), lambda x: x.isNull()), F.to_json(F.array(*strings)))
 
 
-def donors(df: DataFrame, fill: Fill, features: Sequence[Column]) -> DataFrame:
-    """(block, value, n_donors, n_missing) of the blocks that have a donor and a recipient."""
-    tallies = df.select(_block(features).alias("__block"), fill.value.alias("__v"), fill.weight.alias("__w")).filter(F.col("__block").isNotNull()).groupBy("__block", "__v").agg(F.count("*").alias("__n"), F.sum("__w").alias("__w"))
-    blocks = tallies.groupBy("__block").agg(
-        F.min(F.when(F.col("__v").isNotNull(), F.struct((-F.col("__w")).alias("w"), F.col("__v").alias("v")))).alias("__best"),
+def _placed(df: DataFrame, fill: Fill, **columns: Column) -> DataFrame:
+    """The rows once for each level at which they have a block: level, __block and the columns."""
+    named = [c.alias(n) for n, c in columns.items()]
+    if len(fill.levels) == 1:
+        return df.select(F.lit(1).alias("level"), _block(fill.levels[0]).alias("__block"), *named).filter(F.col("__block").isNotNull())
+    every = F.array(*[F.struct(F.lit(i).alias("level"), _block(features).alias("__block")) for i, features in enumerate(fill.levels, 1)])
+    return df.select(F.explode(F.filter(every, lambda x: x["__block"].isNotNull())).alias("__x"), *named).select("__x.*", *columns)
+
+
+def donors(df: DataFrame, row_id: str, fill: Fill) -> DataFrame:
+    """(level, __block, filled_value, donor_id, n_donors, __missing) of the blocks that have a donor and a recipient.
+
+    donor_id: the smallest row id among the donors with the value that is copied.
+    """
+    key = ["level", "__block"]
+    tallies = _placed(df, fill, __id=F.col(row_id), __v=fill.value, __w=fill.weight).groupBy(*key, "__v").agg(F.count("*").alias("__n"), F.sum("__w").alias("__w"), F.min("__id").alias("__donor"))
+    blocks = tallies.groupBy(*key).agg(
+        F.min(F.when(F.col("__v").isNotNull(), F.struct((-F.col("__w")).alias("w"), F.col("__v").alias("v"), F.col("__donor").alias("d")))).alias("__best"),
         F.sum(F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).alias("n_donors"),
         F.sum(F.when(F.col("__v").isNull(), F.col("__n")).otherwise(0)).alias("__missing"),
     )
     blocks = blocks.filter((F.col("n_donors") > 0) & (F.col("__missing") > 0))
     if fill.kind == "category":
-        return blocks.select("__block", F.col("__best.v").alias("filled_value"), "n_donors", "__missing")
-    medians = weighted_median(tallies.filter(F.col("__v").isNotNull()).join(blocks.select("__block"), "__block", "left_semi"), ["__block"], "__v", "__w")
-    return blocks.drop("__best").join(medians.withColumnRenamed("__v", "filled_value"), "__block").select("__block", "filled_value", "n_donors", "__missing")
+        return blocks.select(*key, F.col("__best.v").alias("filled_value"), F.col("__best.d").alias("donor_id"), "n_donors", "__missing")
+    known = tallies.filter(F.col("__v").isNotNull()).join(blocks.select(*key), key, "left_semi")
+    medians = weighted_median(known, key, "__v", "__w").join(known.select(*key, "__v", F.col("__donor").alias("donor_id")), [*key, "__v"])
+    return blocks.drop("__best").join(medians.withColumnRenamed("__v", "filled_value"), key).select(*key, "filled_value", "donor_id", "n_donors", "__missing")
 
 
 def hot_deck(df: DataFrame, row_id: str, fill: Fill, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(row_id, field_name, filled_value, level, n_donors): one row per missing cell that has a donor.
+    """(row_id, field_name, filled_value, level, distance, n_donors, donor_id): one row per missing cell that has a donor.
 
     Majority ties go to the smallest value. A recipient whose features are all unobserved, or whose blocks have no
-    donor, gets no row. Rows with equal `row_id` are filled each. An empty table gives no row.
+    donor, gets no row. Rows with equal `row_id` are filled each. An empty table gives no row. All levels are worked off
+    together: one pass tallies the donors, one brings each recipient its nearest level.
     """
-    out, rest = None, df.filter(fill.value.isNull())
-    for level, features in enumerate(fill.levels, 1):
-        found = cut(donors(df, fill, features), "donors")
-        waiting = rest.select(row_id, _block(features).alias("__block")).filter(F.col("__block").isNotNull())
-        got = hot_split_join(waiting, found, ["__block"], "__missing", hot_rows)
-        got = got.select(F.col(row_id), F.lit(fill.name).alias("field_name"), "filled_value", F.lit(level).alias("level"), "n_donors")
-        out = got if out is None else out.unionByName(got)
-        if level < len(fill.levels):
-            here = found.select("__block")
-            rest = rest.withColumn("__block", _block(features)).join(here, "__block", "left_anti").drop("__block")
-    return out
+    found = cut(donors(df, row_id, fill), "donors")
+    rest = df.filter(fill.value.isNull())
+    several = len(fill.levels) > 1
+    if several:  # numbered in a written table, so that a lost task finds the same numbers
+        names = [f"__f{i}" for i in range(len(fill.levels))]
+        rest = cut(rest.select(F.col(row_id).alias("__id"), F.monotonically_increasing_id().alias("__n"), *[_block(features).alias(n) for n, features in zip(names, fill.levels, strict=True)]), "waiting")
+        every = F.array(*[F.struct(F.lit(i).alias("level"), F.col(n).alias("__block")) for i, n in enumerate(names, 1)])
+        waiting = rest.select("__id", "__n", F.explode(F.filter(every, lambda x: x["__block"].isNotNull())).alias("__x")).select("__id", "__n", "__x.*")
+    else:
+        waiting = _placed(rest, fill, __id=F.col(row_id))
+    got = hot_split_join(waiting, found, ["level", "__block"], "__missing", hot_rows)
+    columns = ["filled_value", "level", "n_donors", "donor_id"]
+    if several:
+        got = got.groupBy("__n", "__id").agg(F.min_by(F.struct(*columns), "level").alias("__x")).select("__id", "__x.*")
+    distances = F.array(*[F.lit(float(x)) for x in (fill.distances or range(len(fill.levels)))])
+    return got.select(F.col("__id").alias(row_id), F.lit(fill.name).alias("field_name"), "filled_value", "level", F.element_at(distances, F.col("level")).alias("distance"), "n_donors", "donor_id")

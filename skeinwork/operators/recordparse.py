@@ -8,11 +8,15 @@ record start: a line start that looks like one and from which a whole record par
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skeinwork.operators.ordered import positions_by
 
 
 class Broken(Exception):
@@ -148,7 +152,8 @@ TOMATOES = Grammar(
 )
 FEEDS = {"title.basics": TITLES, "rt_movies": TOMATOES}
 
-PARSED = "line_id long, feed string, reason string, error_at int, error_column string, record_id string, title string, start_year int, runtime_minutes int, box_office double, genres string"
+PARSED = "line_id long, feed string, reason string, error_at int, error_column string, record_id string, title string, original_title string, title_type string, is_adult boolean, start_year int, end_year int, runtime_minutes int, genres string, audience_score double, tomato_meter double, release_date string, director string, box_office double, distributor string"
+_NAMES = [c.split(" ")[0] for c in PARSED.split(", ")]
 
 
 def money(text: str) -> float | None:
@@ -158,8 +163,21 @@ def money(text: str) -> float | None:
     return float(text.strip("$KMBkmb").replace(",", "")) * scale
 
 
-def _whole(text: str) -> int | None:
-    return int(text) if re.fullmatch(r"[0-9]{1,9}", text) else None
+def _whole(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,9}", text) else None
+
+
+def _decimal(text: str) -> float | None:
+    return float(text) if re.fullmatch(r"[0-9]+(\.[0-9]+)?", text) else None
+
+
+def _typed(feed: str, fields: list[str]) -> dict:
+    """All columns of a valid record; a value of a column that is not judged and does not fit its type is null."""
+    if feed == "title.basics":
+        f = [None if x == "\\N" else x for x in fields]
+        return {"record_id": f[0], "title_type": f[1], "title": f[2], "original_title": f[3], "is_adult": {"0": False, "1": True}.get(f[4]), "start_year": _whole(f[5]), "end_year": _whole(f[6]), "runtime_minutes": _whole(f[7]), "genres": f[8]}
+    f = fields
+    return {"record_id": f[0], "title": f[1], "audience_score": _decimal(f[2]), "tomato_meter": _decimal(f[3]), "release_date": f[4], "runtime_minutes": _whole(f[5]), "genres": f[6], "director": f[7], "box_office": money(f[8]), "distributor": f[9]}
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,22 +185,20 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for line_id, feed, raw in zip(pdf["line_id"], pdf["feed"], pdf["raw_line"], strict=True):
+            row = {"line_id": line_id, "feed": feed}
             parser = parsers.get(feed)
             if parser is None:
-                out.append((line_id, feed, "unknown_feed", 0, None, None, None, None, None, None, None))
+                out.append(row | {"reason": "unknown_feed", "error_at": 0})
                 continue
             text = raw or ""
             r = next(parser.text(text[:-1] if text.endswith("\r") else text))
             if r.reason:
                 names = parser.g.columns
-                out.append((line_id, feed, r.reason, r.at, names[r.column] if r.column < len(names) else None, None, None, None, None, None, None))
-            elif feed == "title.basics":
-                f = [None if x == "\\N" else x for x in r.fields]
-                out.append((line_id, feed, None, None, None, f[0], f[2], f[5] and int(f[5]), f[7] and int(f[7]), None, f[8]))
+                out.append(row | {"reason": r.reason, "error_at": r.at, "error_column": names[r.column] if r.column < len(names) else None})
             else:
-                f = r.fields
-                out.append((line_id, feed, None, None, None, f[0], f[1], None, _whole(f[5]), money(f[8]), f[6]))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in PARSED.split(", ")]).astype({"error_at": "Int32", "start_year": "Int32", "runtime_minutes": "Int32"})
+                out.append(row | _typed(feed, r.fields))
+        kinds = {"error_at": "Int32", "start_year": "Int32", "end_year": "Int32", "runtime_minutes": "Int32", "is_adult": "boolean"}
+        yield pd.DataFrame(out, columns=_NAMES, dtype=object).astype(kinds)
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
@@ -197,3 +213,39 @@ def parse_records(raw: DataFrame) -> DataFrame:
 def parse_text(text: str, grammar: Grammar) -> list[Record]:
     """All records of a text of many lines, with recovery at validated record starts."""
     return list(Parser(grammar, whole=False).text(text))
+
+
+def parse_files(raw: DataFrame, block_rows: int = 5_000, halo_rows: int = 50) -> DataFrame:
+    """(feed, file_name, line_id, reason, error_at) of the broken records of whole files, with recovery.
+
+    The lines of a file, in order of line_id, are one text again: nothing but line breaks tells where records begin, and a
+    broken quote may swallow those. Files are cut into blocks of lines; each block is parsed with the first `halo_rows` lines
+    of the next one, so that a record over a border ends where it should, and gives the records that begin in it. error_at
+    counts from the record's start. Lines inside the remains of a broken record are skipped up to the next validated record
+    start, which is what recovery means; a feed without grammar is left out.
+    """
+    by = ["feed", "file_name"]
+    lines = raw.filter(F.col("feed").isin(*FEEDS)).select("feed", F.coalesce("file_name", F.lit("")).alias("file_name"), "line_id", F.coalesce("raw_line", F.lit("")).alias("raw_line"), (-F.col("line_id")).alias("__back"))
+    p = positions_by(lines, by, "__back", [F.desc("__back")], "__p").withColumn("block", F.floor((F.col("__p") - 1) / block_rows))
+    ahead = (F.col("block") > 0) & ((F.col("__p") - 1) % block_rows < halo_rows)
+    p = p.withColumn("block", F.explode(F.when(ahead, F.array(F.col("block") - 1, F.col("block"))).otherwise(F.array("block")))).select(*by, "block", "__p", "line_id", "raw_line")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        feed, name, block = key
+        pdf = pdf.sort_values("__p", kind="stable")
+        texts, ids = pdf["raw_line"].tolist(), pdf["line_id"].tolist()
+        own = int((pdf["__p"] <= (block + 1) * block_rows).sum())
+        starts, at = [], 0
+        for t in texts:
+            starts.append(at)
+            at += len(t) + 1
+        out = []
+        for r in Parser(FEEDS[feed], whole=False).text("\n".join(texts)):
+            line = bisect_right(starts, r.start) - 1
+            if line >= own:
+                break
+            if r.reason:
+                out.append((feed, name, ids[line], r.reason, r.at - r.start))
+        return pd.DataFrame(out, columns=["feed", "file_name", "line_id", "reason", "error_at"], dtype=object).astype({"line_id": "int64", "error_at": "int32"})
+
+    return p.groupBy(*by, "block").applyInPandas(run, "feed string, file_name string, line_id long, reason string, error_at int")

@@ -99,7 +99,7 @@ def _recs(spark, d, k=10):
     return s if k is None else s.filter(F.col("rank") <= k)
 
 
-@query(f"WITH {_BLEND} SELECT user, item, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+@query(f"WITH {_BLEND} SELECT user, item, round(round(score, 9), 6) AS score, rank FROM r WHERE rank <= 10")
 def l06_hybrid(spark, d):
     """Content and popularity blended with the user's cohort weight."""
     return _recs(spark, d).withColumn("score", F.round("score", 6))
@@ -276,7 +276,7 @@ _VEC = "v AS (SELECT canonical_id AS item, CAST(min(embedding) AS DOUBLE[]) AS x
 @query(f"""WITH {_BLEND}, {_VEC}, a AS (SELECT user, item AS anchor FROM (SELECT user_index AS user, canonical_id AS item, row_number() OVER (PARTITION BY user_index ORDER BY rating DESC, rated_at DESC, canonical_id) AS q FROM {_DEDUPED}) WHERE q = 1),
 seen AS (SELECT user_index AS user, list_distinct(flatten(list(tags))) AS seen FROM {_DEDUPED} JOIN tg ON canonical_id = item GROUP BY 1)
 SELECT r.user, r.item, anchor, round(CASE WHEN list_dot_product(vi.x, vi.x) > 0 AND list_dot_product(va.x, va.x) > 0 THEN list_dot_product(vi.x, va.x) / (sqrt(list_dot_product(vi.x, vi.x)) * sqrt(list_dot_product(va.x, va.x))) END, 5) AS cosine, round(sqrt(list_dot_product(vi.x, vi.x)), 4) AS item_norm, n.rank AS neighbour_rank,
-CAST(len(list_intersect(ti.tags, ta.tags)) AS INT) AS shared_genres, round(len(list_intersect(ti.tags, ta.tags)) / CAST(len(list_distinct(list_concat(ti.tags, ta.tags))) AS DOUBLE), 6) AS genre_jaccard, round(1 - len(list_intersect(ti.tags, seen)) / CAST(len(ti.tags) AS DOUBLE), 6) AS new_genre_share, CASE WHEN n.rank IS NOT NULL THEN 'anchor' WHEN popular IS NULL THEN 'content' ELSE 'blend' END AS path
+CASE WHEN ti.tags IS NOT NULL AND ta.tags IS NOT NULL THEN CAST(len(list_intersect(ti.tags, ta.tags)) AS INT) END AS shared_genres, round(CASE WHEN ti.tags IS NOT NULL AND ta.tags IS NOT NULL THEN 1 END * len(list_intersect(ti.tags, ta.tags)) / CAST(len(list_distinct(list_concat(ti.tags, ta.tags))) AS DOUBLE), 6) AS genre_jaccard, round(CASE WHEN ti.tags IS NOT NULL AND seen IS NOT NULL THEN 1 END - len(list_intersect(ti.tags, seen)) / CAST(len(ti.tags) AS DOUBLE), 6) AS new_genre_share, CASE WHEN n.rank IS NOT NULL THEN 'anchor' WHEN popular IS NULL THEN 'content' ELSE 'blend' END AS path
 FROM r JOIN a USING (user) LEFT JOIN g ON g.item = r.item LEFT JOIN v vi ON vi.item = r.item LEFT JOIN v va ON va.item = anchor LEFT JOIN tg ti ON ti.item = r.item LEFT JOIN tg ta ON ta.item = anchor LEFT JOIN n ON n.movie_id = anchor AND n.neighbor_id = r.item LEFT JOIN seen ON seen.user = r.user WHERE r.rank <= 10""")
 def l06b_attribution(spark, d):
     """Why an item was recommended: its likeness to the user's favourite in vector, genres and neighbour lists."""

@@ -65,6 +65,34 @@ def test_hot_deck(spark):
     assert hot_deck(df.limit(0), "row_id", Fill("v", present("v"), [[present("g")]])).count() == 0
 
 
+def test_hot_deck_names_the_nearest_donors(spark):
+    from skeinwork.operators.hotdeck import by_distance
+
+    rows = [(1, "g", "a", "x", None), (2, "g", "a", "y", "far"), (3, "g", "b", "x", "near"), (4, "g", "b", "x", "near"), (5, "g", None, None, None), (6, "other", "a", "x", "no"), (7, "g", "a", "x", None), (1, "g", "c", "x", None)]
+    df = spark.createDataFrame(rows, "row_id int, g string, a string, b string, v string")
+    levels, distances = by_distance([F.col("g")], [(F.col("a"), 1.0), (F.col("b"), 2.0)])
+    assert distances == [0.0, 1.0, 2.0, 3.0]
+    got = sorted((r.row_id, r.filled_value, r.distance, r.n_donors, r.donor_id) for r in hot_deck(df, "row_id", Fill("v", F.col("v"), levels, distances=distances)).collect())
+    assert got == [(1, "near", 1.0, 2, 3), (1, "near", 1.0, 2, 3), (5, "near", 3.0, 3, 3), (7, "near", 1.0, 2, 3)]
+    weighed = Fill("v", F.col("v"), [[F.col("g")]], weight=F.when(F.col("v") == "far", 5).otherwise(1))
+    assert {r.filled_value for r in hot_deck(df, "row_id", weighed).collect()} == {"far"}
+
+
+def test_files_are_parsed_with_recovery(spark):
+    from skeinwork.operators.recordparse import parse_files
+
+    good = lambda i: f'rt_{i},"A, ""B"" {i}",1,2,2000-01-01,90,Drama,Ann Lee,$1.5M,X'
+    lines = [good(0), 'rt_1,"open,1,2,3,4,5,6,7,8', good(2), good(3).replace("Drama,", ""), good(4), good(5).replace('1,2,', '1,2\n3,'), good(6).replace("$1.5M", "1,5"), good(7) + "\r", good(8)]
+    lines[5] = good(5).replace("A, ", "A,\n")
+    rows = [(i, "rt_movies", f"f{i // 9}", x) for i, x in enumerate(lines * 3)] + [(99, "nothing", "f", "x"), (100, "title.basics", None, None)]
+    df = spark.createDataFrame(rows, "line_id long, feed string, file_name string, raw_line string")
+    want = sorted((r.line_id, r.reason) for r in parse_records(df).collect() if r.reason and r.feed != "nothing")
+    assert len(want) == 10
+    for block in (1000, 4, 2):
+        assert sorted((r.line_id, r.reason) for r in parse_files(df, block, 3).collect()) == want
+    assert parse_files(df.limit(0)).count() == 0
+
+
 def test_hot_deck_levels_and_numbers(spark):
     rows = [(1, "a", "p", 10.0), (2, "a", "p", None), (3, "a", "q", 30.0), (4, "a", "r", None), (5, "a", "q", 50.0), (6, "b", "p", None)]
     df = spark.createDataFrame(rows, "row_id long, g string, h string, w double")
