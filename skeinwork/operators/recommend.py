@@ -57,39 +57,34 @@ def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def factor_scores(users: DataFrame, items: DataFrame, k: int, most_items: int = 100_000) -> DataFrame:
+def factor_scores(users: DataFrame, items: DataFrame, k: int, block_rows: int = 8192) -> DataFrame:
     """(user, item, score, rank): the k items of highest inner product for each user. users (user, u), items (item, v).
 
-    Up to `most_items` item factors go to every task as one array. More are cut into blocks of that many by hash, each block
-    is searched so, and the blocks' lists are merged: the same result, with one pass over the users a block.
+    Both sides are cut into blocks of about `block_rows` by hash; each pair of blocks is one matrix product on an executor
+    that keeps its k best a user, and the blocks' lists are merged. Nothing passes through the driver.
     """
     kinds = dict(users.dtypes) | dict(items.dtypes)
-    blocks = max(1, -(-items.count() // most_items))
-    parts = [_block_scores(users, items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), k, kinds) for b in range(blocks)]
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _block_scores(users: DataFrame, items: DataFrame, k: int, kinds: dict[str, str]) -> DataFrame:
-    table = items.orderBy("item").toPandas()
-    if not len(table):
-        return users.limit(0).selectExpr("user", f"cast(null as {kinds['item']}) as item", "cast(null as double) as score", "cast(null as int) as rank")
-    matrix, names = np.stack(table["v"].to_numpy()).astype(np.float64), table["item"].to_numpy()
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            s = np.round(np.stack(pdf["u"].to_numpy()).astype(np.float64) @ matrix.T, 9)
+    nu, ni = (max(1, -(-df.count() // block_rows)) for df in (users, items))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = users.select("user", "u", block("user", nu).alias("a"), every(ni).alias("b"))
+    right = items.select("item", "v", block("item", ni).alias("d"), every(nu).alias("c"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"user": [], "item": [], "score": []})
+        y = y.sort_values("item", kind="stable")
+        matrix, names, out = np.stack(y["v"].to_numpy()).astype(np.float64), y["item"].to_numpy(), []
+        for at in range(0, len(x), 512):
+            part = x.iloc[at : at + 512]
+            s = np.round(np.stack(part["u"].to_numpy()).astype(np.float64) @ matrix.T, 9)
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"user": np.repeat(pdf["user"].to_numpy(), top.shape[1]), "item": names[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel(), "rank": np.tile(np.arange(1, top.shape[1] + 1), len(pdf))})
+            out.append(pd.DataFrame({"user": np.repeat(part["user"].to_numpy(), top.shape[1]), "item": names[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()}))
+        return pd.concat(out)
 
-    return users.select("user", "u").mapInPandas(run, f"user {kinds['user']}, item {kinds['item']}, score double, rank int")
+    part = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(run, f"user {kinds['user']}, item {kinds['item']}, score double")
+    w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def dense_indices(values: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from skeinwork.io import load
 from skeinwork.operators import ordered, recommend, textsearch
 from skeinwork.plans.registry import Registry
 from skeinwork.plans.windows import _DEDUPED, one_rating
+from skeinwork.session import cut
 
 query = Registry()
 
@@ -65,15 +66,20 @@ _SEED = f"s AS (SELECT user_index AS user, canonical_id AS item FROM (SELECT *,
 SEEDS = 20
 
 
-def _seeds(spark, d):
-    return ordered.first_rows(one_rating(spark, d), ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")], SEEDS).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item"))
+def _rated(spark, d):
+    """Each user's one rating of a film, written once for all that a query asks of it."""
+    return cut(one_rating(spark, d), "rated")
+
+
+def _seeds(r):
+    return ordered.first_rows(r, ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")], SEEDS).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item"))
 
 
 @query(f"""WITH {_NB}, {_SEED}, f AS (SELECT user, neighbor_id AS item, count(*) AS hits, max(score) AS best, list_avg(list_sort(list(score), 'DESC')[1:10]) AS m FROM s JOIN n ON s.item = n.movie_id GROUP BY 1, 2)
 SELECT user, item, hits, round(best, 6) AS best, round(m, 10) AS mean_top10 FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user = f.user AND s.item = f.item)""")
 def l05_content_expansion(spark, d):
     """The twenty favourites of every user, spread to their neighbours."""
-    e = recommend.expand_by_neighbours(_seeds(spark, d), _neighbours(spark, d))
+    e = recommend.expand_by_neighbours(cut(_seeds(one_rating(spark, d)), "seeds"), _neighbours(spark, d))
     return e.withColumns({"best": F.round("best", 6), "mean_top10": F.round("mean_top10", 10)})
 
 
@@ -83,10 +89,10 @@ b AS (SELECT user, item, CASE WHEN popular IS NULL THEN content ELSE a * content
 r AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, item) AS rank FROM b)"""
 
 
-def _recs(spark, d, k=10):
+def _recs(spark, d, k=10, ratings=None):
     """The k best of every user (all if None): content and popularity, with small boosts for votes, recency and links."""
-    ratings = one_rating(spark, d)
-    c = _seeds(spark, d).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
+    ratings = _rated(spark, d) if ratings is None else ratings
+    c = _seeds(ratings).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
     g = ratings.groupBy(F.col("canonical_id").alias("item")).agg((F.avg("rating") / 5).alias("popular"), F.count("*").alias("votes"))
     h = ratings.groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
     years = load(spark, d, "movies_master", "canonical_id", "year_norm").groupBy(F.col("canonical_id").alias("item")).agg(F.max("year_norm").alias("y"))
@@ -144,8 +150,8 @@ def l17_neighbour_quality(spark, d):
 _TRUTH = f"truth AS (SELECT user_index AS user, canonical_id AS item FROM (SELECT *, row_number() OVER (PARTITION BY user_index ORDER BY rated_at DESC, canonical_id) AS r, count(*) OVER (PARTITION BY user_index) AS n FROM {_DEDUPED}) WHERE r <= greatest(1, n // 5))"
 
 
-def _truth(spark, d):
-    r = one_rating(spark, d).withColumn("at", F.unix_micros(F.col("rated_at").cast("timestamp")))
+def _truth(ratings):
+    r = ratings.withColumn("at", F.unix_micros(F.col("rated_at").cast("timestamp")))
     return ordered.tail_holdout(r, ["user_index"], "at", [F.desc("at"), F.asc("canonical_id")]).filter("held_out").select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item"))
 
 
@@ -157,14 +163,16 @@ e AS (SELECT user, hits / size AS recall, hits / 10.0 AS precision, ap / size AS
 @query(f"{_EVAL} SELECT count(*) AS users, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(average_precision), 6) AS average_precision, round(avg(ndcg), 6) AS ndcg FROM e")
 def e01_ranking_metrics(spark, d):
     """E1 E2 E3 E4 E7 W23."""
-    m = recommend.mean_metrics(recommend.per_user_metrics(_recs(spark, d), _truth(spark, d), 10))
+    r = _rated(spark, d)
+    m = recommend.mean_metrics(recommend.per_user_metrics(_recs(spark, d, ratings=r), _truth(r), 10))
     return m.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "average_precision", "ndcg")})
 
 
 @query(f"WITH {_BLEND} SELECT (SELECT round(count(DISTINCT user) / CAST((SELECT count(*) FROM h) AS DOUBLE), 6) FROM r WHERE rank <= 10) AS user_coverage, (SELECT round(count(DISTINCT item) / CAST((SELECT count(DISTINCT canonical_id) FROM movies_master) AS DOUBLE), 6) FROM r WHERE rank <= 10 AND item IN (SELECT canonical_id FROM movies_master)) AS item_coverage")
 def e06_coverage(spark, d):
     """E6."""
-    c = recommend.coverage(_recs(spark, d), one_rating(spark, d).select(F.col("user_index").alias("user")), load(spark, d, "movies_master").select(F.col("canonical_id").alias("item")))
+    r = _rated(spark, d)
+    c = recommend.coverage(_recs(spark, d, ratings=r), r.select(F.col("user_index").alias("user")), load(spark, d, "movies_master").select(F.col("canonical_id").alias("item")))
     return c.withColumns({x: F.round(x, 6) for x in ("user_coverage", "item_coverage")})
 
 
@@ -183,9 +191,10 @@ def e08_diversity(spark, d):
 @query(f"""WITH {_BLEND}, p AS (SELECT item, (rank() OVER (ORDER BY votes) - 1) / CAST(count(*) OVER () AS DOUBLE) AS pop FROM g) SELECT user, round(1 - avg(pop), 6) AS novelty FROM r JOIN p USING (item) WHERE rank <= 10 GROUP BY 1""")
 def e09_novelty(spark, d):
     """E9."""
-    g = one_rating(spark, d).groupBy(F.col("canonical_id").alias("item")).agg(F.count("*").alias("votes"))
+    r = _rated(spark, d)
+    g = r.groupBy(F.col("canonical_id").alias("item")).agg(F.count("*").alias("votes"))
     p = ordered.ranks(g, "votes", descending=False).select("item", "strict_percentile")
-    return _recs(spark, d).join(p, "item").groupBy("user").agg(F.round(1 - F.avg("strict_percentile"), 6).alias("novelty"))
+    return _recs(spark, d, ratings=r).join(p, "item").groupBy("user").agg(F.round(1 - F.avg("strict_percentile"), 6).alias("novelty"))
 
 
 @query(f"""WITH {_BLEND}, v AS (SELECT canonical_id AS item, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 GROUP BY 1)
@@ -193,17 +202,19 @@ SELECT r.user, round(1 - avg(coalesce(CASE WHEN list_dot_product(a.x, a.x) > 0 A
 def e10_serendipity(spark, d):
     """Against the user's favourites."""
     v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy("canonical_id").agg(F.min("embedding").alias("x"))
-    r = _recs(spark, d).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("a")), "item")
-    s = _seeds(spark, d).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("b")), "item").select("user", "b")
+    rated = _rated(spark, d)
+    r = _recs(spark, d, ratings=rated).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("a")), "item")
+    s = _seeds(rated).join(v.select(F.col("canonical_id").alias("item"), F.col("x").alias("b")), "item").select("user", "b")
     return r.join(s, "user").groupBy("user").agg(F.round(1 - F.avg(arrays.cosine(F.col("a"), F.col("b"))), 5).alias("serendipity"))
 
 
 @query(f"""{_EVAL} SELECT CASE WHEN history <= 10 THEN 'light' WHEN history <= 100 THEN 'medium' ELSE 'heavy' END AS cohort, count(*) AS users, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(average_precision), 6) AS average_precision, round(avg(ndcg), 6) AS ndcg FROM e JOIN h USING (user) GROUP BY 1""")
 def e11_by_cohort(spark, d):
     """E11 G17."""
-    h = one_rating(spark, d).groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
+    r = _rated(spark, d)
+    h = r.groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
     cohort = F.when(F.col("history") <= 10, "light").when(F.col("history") <= 100, "medium").otherwise("heavy")
-    m = recommend.mean_metrics(recommend.per_user_metrics(_recs(spark, d), _truth(spark, d), 10).join(h, "user").withColumn("cohort", cohort), ["cohort"])
+    m = recommend.mean_metrics(recommend.per_user_metrics(_recs(spark, d, ratings=r), _truth(r), 10).join(h, "user").withColumn("cohort", cohort), ["cohort"])
     return m.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "average_precision", "ndcg")})
 
 
@@ -216,13 +227,13 @@ e AS (SELECT alpha, count(*) AS users, avg(hits / size) AS recall, avg(hits / 10
 @query(f"""{_GRID} SELECT alpha, users, round(recall, 6) AS recall, round(precision, 6) AS precision, round(average_precision, 6) AS average_precision, round(ndcg, 6) AS ndcg, alpha = (SELECT alpha FROM e ORDER BY average_precision DESC, ndcg DESC, recall DESC LIMIT 1) AS is_best, round((average_precision / nullif((SELECT average_precision FROM e WHERE alpha = 0), 0) - 1) * 100, 4) AS lift_percent FROM e""")
 def e12_alpha_grid(spark, d):
     """Every weight is scored anew; the best by MAP, then NDCG, then recall, and its lift over pure popularity."""
-    ratings = one_rating(spark, d)
-    c = _seeds(spark, d).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
+    ratings = _rated(spark, d)
+    c = _seeds(ratings).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
     g = ratings.groupBy(F.col("canonical_id").alias("item")).agg((F.avg("rating") / 5).alias("popular"))
     grid = c.join(g, "item", "left").withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 0.7, 1.0)))))
     s = grid.select(F.concat_ws(":", "user", "alpha").alias("user"), "item", F.round(recommend.blended(F.col("content"), F.col("popular"), F.col("alpha")), 9).alias("score"))
     recs = s.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "item"))).filter("rank <= 10")
-    truth = _truth(spark, d).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 0.7, 1.0))))).select(F.concat_ws(":", "user", "alpha").alias("user"), "item")
+    truth = _truth(ratings).withColumn("alpha", F.explode(F.array(*map(F.lit, (0.0, 0.3, 0.5, 0.7, 1.0))))).select(F.concat_ws(":", "user", "alpha").alias("user"), "item")
     m = recommend.mean_metrics(recommend.per_user_metrics(recs, truth, 10).withColumn("alpha", F.substring_index("user", ":", -1).cast("double")), ["alpha"])
     best = m.agg(F.max_by("alpha", F.struct("average_precision", "ndcg", "recall")).alias("best"), F.max_by("average_precision", -F.col("alpha")).alias("base"))
     lift = F.try_divide(F.col("average_precision"), F.col("base")) - 1
@@ -232,8 +243,9 @@ def e12_alpha_grid(spark, d):
 @query(f"""WITH {_BLEND}, {_TRUTH}, o AS (SELECT t.user, count(r.item) / CAST(count(*) AS DOUBLE) AS reachable FROM truth t LEFT JOIN r ON r.user = t.user AND r.item = t.item GROUP BY 1) SELECT count(*) AS users, round(avg(reachable), 6) AS oracle_recall FROM o""")
 def e15_oracle_recall(spark, d):
     """How much of the truth is anywhere among the candidates."""
-    c = _recs(spark, d, None).select("user", "item", F.lit(1).alias("x"))
-    o = _truth(spark, d).join(c, ["user", "item"], "left").groupBy("user").agg((F.count("x") / F.count("*")).alias("reachable"))
+    r = _rated(spark, d)
+    c = _recs(spark, d, None, r).select("user", "item", F.lit(1).alias("x"))
+    o = _truth(r).join(c, ["user", "item"], "left").groupBy("user").agg((F.count("x") / F.count("*")).alias("reachable"))
     return o.agg(F.count("*").alias("users"), F.round(F.avg("reachable"), 6).alias("oracle_recall"))
 
 
@@ -264,8 +276,9 @@ x AS (SELECT f.*, history, row_number() OVER (PARTITION BY user ORDER BY hits DE
 SELECT user, item, place FROM x WHERE place <= CASE WHEN history <= 2 THEN 200 WHEN history <= 10 THEN 500 ELSE 1000 END""")
 def l05c_capped_candidates(spark, d):
     """Candidates by hits and best score, as many as the user's cohort may have."""
-    h = one_rating(spark, d).groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
-    e = recommend.expand_by_neighbours(_seeds(spark, d), _neighbours(spark, d)).join(h, "user")
+    r = _rated(spark, d)
+    h = r.groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
+    e = recommend.expand_by_neighbours(cut(_seeds(r), "seeds"), _neighbours(spark, d)).join(h, "user")
     place = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("hits"), F.desc(F.round("best", 9)), "item"))
     return e.withColumn("place", place).filter(F.col("place") <= recommend.candidate_cap(F.col("history"))).select("user", "item", "place")
 
@@ -280,13 +293,13 @@ CASE WHEN ti.tags IS NOT NULL AND ta.tags IS NOT NULL THEN CAST(len(list_interse
 FROM r JOIN a USING (user) LEFT JOIN g ON g.item = r.item LEFT JOIN v vi ON vi.item = r.item LEFT JOIN v va ON va.item = anchor LEFT JOIN tg ti ON ti.item = r.item LEFT JOIN tg ta ON ta.item = anchor LEFT JOIN n ON n.movie_id = anchor AND n.neighbor_id = r.item LEFT JOIN seen ON seen.user = r.user WHERE r.rank <= 10""")
 def l06b_attribution(spark, d):
     """Why an item was recommended: its likeness to the user's favourite in vector, genres and neighbour lists."""
-    ratings = one_rating(spark, d)
+    ratings = _rated(spark, d)
     anchors = ordered.first_rows(ratings, ["user_index"], [F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")]).select(F.col("user_index").alias("user"), F.col("canonical_id").alias("anchor"))
     v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy(F.col("canonical_id").alias("item")).agg(F.min("embedding").alias("x"))
     tags = _tags(spark, d).withColumn("tags", F.array_distinct("tags"))
     seen = ratings.select(F.col("user_index").alias("user"), F.col("canonical_id").alias("item")).join(tags, "item").select("user", F.explode("tags").alias("tag")).distinct().groupBy("user").agg(F.collect_list("tag").alias("seen"))
     popular = ratings.select(F.col("canonical_id").alias("item"), F.lit(True).alias("rated")).distinct()
-    out = recommend.attributed(_recs(spark, d), anchors, v, tags, _neighbours(spark, d), seen)
+    out = recommend.attributed(_recs(spark, d, ratings=ratings), anchors, v, tags, _neighbours(spark, d), seen)
     path = F.when(F.col("neighbour_rank").isNotNull(), "anchor").when(F.col("rated").isNull(), "content").otherwise("blend")
     return out.join(popular, "item", "left").select("user", "item", "anchor", F.round("cosine", 5).alias("cosine"), F.round("item_norm", 4).alias("item_norm"), "neighbour_rank", "shared_genres", F.round("genre_jaccard", 6).alias("genre_jaccard"), F.round("new_genre_share", 6).alias("new_genre_share"), path.alias("path"))
 

@@ -66,13 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: short lineage, survives lost executors.
 
-    Parquet instead of checkpoint() keeps the files small, and filters and column selection still reach them.
+    Parquet instead of checkpoint() keeps the files small, and filters and column selection still reach them. A table that
+    `drop_cut` has not deleted by then is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skeinwork-{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    target, fs = _file(spark, path)
+    fs.deleteOnExit(target)
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
@@ -85,8 +88,14 @@ def drop_cut(df: DataFrame | None) -> None:
     if path is None:
         return
     spark = df.sparkSession
+    target, fs = _file(spark, path)
+    fs.delete(target, True)
+    fs.cancelDeleteOnExit(target)
+
+
+def _file(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def default_parallelism(spark: SparkSession) -> int:
