@@ -20,16 +20,20 @@ from skeinwork.operators.ordered import first_rows
 # --- building blocks -------------------------------------------------------------------------------------------------
 
 
-def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = 2048, metric: str = "cosine") -> DataFrame:
+def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int = 2048, metric: str = "cosine", asked: DataFrame | None = None) -> DataFrame:
     """(id, neighbor, score, rank) by cosine (or `euclid`: minus the distance) over all pairs, in blocks of about
     `block_rows`: each pair of blocks is one matrix product that keeps its k best a row, and the partial lists are merged.
     A task's memory does not grow with the table. Quadratic by nature: for collections beyond some hundred thousand vectors
-    use an index.
+    use an index. `asked`: rows of the same columns whose neighbours are wanted, all if None.
     """
+    asked = vectors if asked is None else asked
     blocks = max(1, -(-vectors.count() // block_rows))
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = v.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = v.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.col("b").alias("rc")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asking = blocks if asked is vectors else max(1, -(-asked.count() // block_rows))
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    left = asked.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("b", slot(asking)).withColumn("c", every(blocks))
+    right = v.withColumn("rc", slot(blocks)).select(F.col("id").alias("rid"), F.col("v").alias("rv"), "rc", every(asking).alias("rb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"id": [], "neighbor": [], "score": []}
