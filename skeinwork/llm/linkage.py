@@ -9,6 +9,8 @@ on sums per node, until they settle. What results is each pair's marginal probab
 from __future__ import annotations
 
 import unicodedata
+import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,6 @@ from skeinwork.session import cut, drop_cut
 # Base letters of Latin letters with accents, from Unicode's own decompositions.
 _ACCENTED = [chr(c) for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c)) and unicodedata.decomposition(chr(c))[0] != "<"]
 _BASE = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
-# What distributors add to the title of the same film.
-ADDED = ("directors cut", "uncut", "a love story", "the movie")
 ARTICLES = "the|a|an"
 #: Entities of a block in one slot.
 SLOT_ROWS = 500
@@ -41,12 +41,30 @@ def folded(c: Column) -> Column:
     return F.trim(c)
 
 
-def title_parts(c: Column) -> dict[str, Column]:
-    """core: letters of the title without article, edition and number; number: of a sequel; cut_off: the title was truncated."""
+def additions(entity_titles: DataFrame, record_titles: DataFrame, least: int = 5, per: int = 1000, ratio: float = 10.0) -> list[str]:
+    """Folded phrases that the records' source adds to titles after a colon, learned from both tables (one column each).
+
+    A phrase counts if one record in `per` (and `least` records) has it, which bounds their number by `per`, and if it is
+    `ratio` times as common among the records as at the end of the entities' titles: a true subtitle is on both sides.
+    """
+    title = lambda df: F.col(df.columns[0])
+    sizes = entity_titles.count(), record_titles.count()
+    r = record_titles.select(folded(F.regexp_extract(title(record_titles), r":\s*([^:]+)$", 1)).alias("phrase")).filter("phrase <> ''").groupBy("phrase").agg(F.count("*").alias("n"))
+    r = cut(r.filter(F.col("n") >= max(least, sizes[1] / per)), "phrases")
+    words = F.split(folded(title(entity_titles)), " ")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(8))), lambda k: F.array_join(F.slice(words, F.size(words) - k + 1, k), " "))
+    e = entity_titles.filter(title(entity_titles).isNotNull()).select(F.explode(ends).alias("phrase")).join(F.broadcast(r), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("there"))
+    found = r.join(e, "phrase", "left").filter(F.col("n") / max(1, sizes[1]) > ratio * F.coalesce("there", F.lit(0)) / max(1, sizes[0]))
+    return sorted((x["phrase"] for x in found.collect()), key=lambda x: (-len(x), x))
+
+
+def title_parts(c: Column, added: Sequence[str] = ()) -> dict[str, Column]:
+    """core: letters of the title without article, edition (`added`) and number; number: of a sequel; cut_off: the title was truncated."""
     bare = F.regexp_replace(c, r"[\(\[][^\)\]]*([\)\]]|…|$)", " ")
     inverted = F.regexp_replace(bare, rf"(?i)^\s*(.*),\s*({ARTICLES})\s*$", "$2 $1")
     t = folded(inverted)
-    t = F.regexp_replace(t, rf" ({'|'.join(ADDED)})$", "")
+    if added:
+        t = F.regexp_replace(t, rf" ({'|'.join(added)})$", "")
     roman = F.regexp_extract(t, r" (ii|iii|iv|v|vi|vii|viii|ix)$", 1)
     digits = F.regexp_extract(t, r" ([0-9]+)$", 1)
     numbers = F.create_map(*[F.lit(x) for pair in zip(("ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"), "23456789", strict=True) for x in pair])
@@ -67,9 +85,9 @@ def genres(c: Column, separator: str) -> Column:
     return F.array_sort(F.filter(F.transform(F.split(c, separator), lambda x: F.lower(F.trim(x))), lambda x: ~x.isin("", "unknown")))
 
 
-def described(df: DataFrame, key: Column, title: Column, year: Column, runtime: Column, director: Column, kinds: Column, language: Column) -> DataFrame:
+def described(df: DataFrame, key: Column, title: Column, year: Column, runtime: Column, director: Column, kinds: Column, language: Column, added: Sequence[str] = ()) -> DataFrame:
     """One row per key in a common form; of several rows of one key the first in order of all columns."""
-    p = title_parts(title)
+    p = title_parts(title, added)
     rows = df.select(key.alias("key"), p["core"].alias("core"), p["number"].alias("number"), p["cut_off"].alias("cut_off"), year.cast("int").alias("year"), runtime.cast("int").alias("runtime"), director.alias("people"), kinds.alias("genres"), language.alias("language"))
     rows = rows.filter(F.col("key").isNotNull())
     rest = [c for c in rows.columns if c != "key"]
@@ -230,7 +248,7 @@ def evidence(entities: DataFrame, records: DataFrame, pairs: DataFrame, floor: f
     return p.select(F.col("e_key").alias("e"), F.col("r_key").alias("r"), odds.alias("odds")).filter(F.col("odds") >= floor)
 
 
-def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = FLOOR, tolerance: float = 1e-3, max_rounds: int = 30, damping: float = 0.5) -> DataFrame:
+def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = FLOOR, tolerance: float = 1e-3, max_rounds: int = 60, damping: float = 0.5) -> DataFrame:
     """(e, r, probability) of every pair whose log odds are at least `floor`, by belief propagation on (e, r, odds).
 
     A node's outgoing message depends on the sum over its pairs less the pair's own part, so each half-round is one
@@ -259,6 +277,8 @@ def marginals(pairs: DataFrame, repeat: float = REPEAT, floor: float = FLOOR, to
         moved = q.agg(F.max("moved")).first()[0]
         if moved is None or moved < tolerance:
             break
+    else:
+        warnings.warn(f"probabilities still moved by {moved:.2g} after {max_rounds} rounds of propagation", stacklevel=2)
     total = F.col("odds") + F.col("from_r") + F.col("from_e")
     return p.select("e", "r", (1 / (1 + F.exp(-total))).alias("probability"))
 

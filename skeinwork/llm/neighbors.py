@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,8 +23,13 @@ from skeinwork.session import cut
 
 #: Rows the centroids are fitted on (at 64 numbers 16 MB on the driver); every row is indexed all the same.
 SAMPLE_ROWS = 65_536
-#: Vectors a cell should have, and the most centroids there are (1 MB to every task); beyond, cells are larger.
-CELL_ROWS, MAX_CELLS = 128, 4_096
+#: Vectors a cell should have, and the most centroids there are (32 MB to every task). The cells follow the number of vectors
+#: up to 8.4 million of them; beyond, cells grow and are worked off in blocks.
+CELL_ROWS, MAX_CELLS = 128, 65_536
+#: Sampled rows a centroid, where there are more centroids than the sample has a sixteenth.
+SAMPLED_PER_CELL = 4
+#: Inner products held at a time.
+PRODUCTS = 1 << 22
 #: Rows of an index block and of a query block in one task.
 BLOCK_ROWS = 4_096
 #: Standard errors of the estimate that the bounds allow for.
@@ -61,12 +66,18 @@ def unit(raw: pd.Series, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def unpacked(raw: Column | str) -> Column:
+    """The numbers of a packed vector."""
+    return F.pandas_udf(lambda s: s.map(lambda b: np.frombuffer(b, dtype=np.float32)), "array<float>")(raw)
+
+
 def fit_cells(x: np.ndarray, cells: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
     """Spherical k-means on the sample."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:cells]].copy()
+    step = max(64, PRODUCTS // cells)
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 8192] @ c.T).argmax(1) for i in range(0, len(x), 8192)])
+        near = np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -121,13 +132,17 @@ def _assign(centroids: np.ndarray, dims: int, probes: int):
             if not len(pdf):
                 continue
             x = unit(pdf["vec"], dims)
-            sims = x @ centroids.T
-            n = min(probes, sims.shape[1])
-            near = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+            n, step, found, found_sims = min(probes, len(centroids)), max(64, PRODUCTS // len(centroids)), [], []
+            for at in range(0, len(x), step):
+                sims = x[at : at + step] @ centroids.T
+                near = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+                found.append(near)
+                found_sims.append(np.take_along_axis(sims, near, 1))
+            near, sims = np.concatenate(found), np.concatenate(found_sims)
             c = centroids[near[:, 0]]
             code = encode(x, c, rot)
-            yield pdf.assign(cell=near[:, 0].astype(np.int32), probes=list(near.astype(np.int32)), probe_sims=list(np.take_along_axis(sims, near, 1)), bits=[b.tobytes() for b in code["bits"]], length=code["length"], fit=code["fit"], x_dot_c=(x * c).sum(1))
+            yield pdf.assign(cell=near[:, 0].astype(np.int32), probes=list(near.astype(np.int32)), probe_sims=list(sims), bits=[b.tobytes() for b in code["bits"]], length=code["length"], fit=code["fit"], x_dot_c=(x * c).sum(1))
 
     return run
 
@@ -180,8 +195,9 @@ def nearest(vectors: DataFrame, key: str, vector: str, dims: int, k: int = 10, f
     total = distinct.count()
     if not total:
         return spark.createDataFrame([], "id string, neighbor string, sim double")
-    sample = distinct.orderBy(F.xxhash64("rep")).limit(sample_rows).select("vec").toPandas()["vec"]
-    centroids = fit_cells(unit(sample, dims), max(1, min(MAX_CELLS, len(sample), total // cell_rows)))
+    cells = max(1, min(MAX_CELLS, total // cell_rows))
+    sample = distinct.orderBy(F.xxhash64("rep")).limit(max(sample_rows, SAMPLED_PER_CELL * cells)).select("vec").toPandas()["vec"]
+    centroids = fit_cells(unit(sample, dims), min(cells, len(sample)))
     placed = cut(distinct.mapInPandas(_assign(centroids, dims, probes), "rep string, vec binary, cell int, probes array<int>, probe_sims array<double>, bits binary, length double, fit double, x_dot_c double"), "placed")
     # One row a cell, so at most MAX_CELLS rows, tell its widest angle and how many blocks each side of it has.
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nx"), F.min("x_dot_c").alias("edge"))

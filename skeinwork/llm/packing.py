@@ -9,6 +9,8 @@ Only a table of lengths up to the capacity and their counts reaches the driver:
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,7 +61,7 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 5_000) -> list[tuple[np.ndarray, int]]:
     """(configuration, times used) that holds exactly `demand` pieces of each size."""
     basis = np.diag((capacity // sizes).astype(float))
     x = demand / np.diag(basis)
@@ -75,6 +77,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             break
         basis[:, out] = pattern
         x = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
+    else:
+        warnings.warn(f"configurations still improve after {rounds} rounds", stacklevel=2)
     used = [(basis[:, j].round().astype(np.int64), int(x[j] + 1e-6)) for j in range(len(sizes))]
     left = demand.astype(np.int64).copy()
     plan = []

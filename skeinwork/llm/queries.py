@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.io import load
 from skeinwork.llm.components import components, shared_key_edges
-from skeinwork.llm.linkage import described, genres, match, people
+from skeinwork.llm.linkage import additions, described, genres, match, people
 from skeinwork.llm.mixture import mix, share_report
-from skeinwork.llm.neighbors import nearest, similar_pairs
+from skeinwork.llm.neighbors import nearest, similar_pairs, unpacked, usable
 from skeinwork.llm.packing import pack, packing_report
 from skeinwork.llm.tokens import token_counts
 from skeinwork.llm.topn import top_n
-from skeinwork.llm.unify import same_look_pairs, unified
+from skeinwork.llm.unify import LOOK_ALIKES, same_look_pairs, unified
+from skeinwork.operators.recommend import exact_knn
 from skeinwork.session import cut
 
 CAPACITY = 2048
 LANGUAGES = ("en", "fr", "de", "es")
 
 
-def films(spark: SparkSession, d: str) -> DataFrame:
+def films(spark: SparkSession, d: str, added: Sequence[str] = ()) -> DataFrame:
     c = F.col
-    return described(load(spark, d, "movies_master"), c("canonical_id"), c("title_norm"), c("year_norm"), c("runtime_minutes"), people(c("director_name")), genres(c("genres_norm"), r"\|"), c("original_language"))
+    return described(load(spark, d, "movies_master"), c("canonical_id"), c("title_norm"), c("year_norm"), c("runtime_minutes"), people(c("director_name")), genres(c("genres_norm"), r"\|"), c("original_language"), added)
 
 
-def tomatoes(spark: SparkSession, d: str) -> DataFrame:
-    """The year is that of the theatre release; a running time under 40 minutes is a damaged number."""
+def tomatoes(spark: SparkSession, d: str, added: Sequence[str] = ()) -> DataFrame:
+    """The year is that of the theatre release; a running time well below those of nearly all films is a damaged number."""
     c = F.col
     year = F.regexp_extract("releasedatetheaters", r"((?:18|19|20)\d\d)", 1).try_cast("int")
     language = F.create_map(*[F.lit(x) for x in ("English", "en", "French", "fr", "German", "de", "Spanish", "es")])[c("originallanguage")]
-    return described(load(spark, d, "rt_movies"), c("id"), c("title"), year, F.when(c("runtimeminutes") >= 40, c("runtimeminutes")), people(c("director")), genres(c("genre"), ","), language)
+    shortest = load(spark, d, "movies_master", "runtime_minutes").agg(F.percentile_approx("runtime_minutes", 0.001, 10_000)).first()[0] or 0
+    return described(load(spark, d, "rt_movies"), c("id"), c("title"), year, F.when(c("runtimeminutes") >= 0.9 * shortest, c("runtimeminutes")), people(c("director")), genres(c("genre"), ","), language, added)
 
 
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     """Every pair with a confidence of one half or more."""
-    found = match(films(spark, d), tomatoes(spark, d)).filter("probability >= 0.5")
+    added = additions(load(spark, d, "movies_master", "title_norm"), load(spark, d, "rt_movies", "title"))
+    found = match(films(spark, d, added), tomatoes(spark, d, added)).filter("probability >= 0.5")
     return found.select(F.col("e").alias("canonical_id"), F.col("r").alias("rt_id"), F.round("probability", 6).alias("confidence"))
 
 
@@ -54,6 +60,18 @@ def p3_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return nearest(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64, probes=32)
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of one id in twenty against brute force over all rows: how many were asked, and whether nine in ten of
+    their true neighbours were found."""
+    vectors = cut(usable(load(spark, d, "movies_embedding_v1", "canonical_id", "embedding"), "canonical_id", "embedding", 64), "usable")
+    plain = vectors.select("id", unpacked("vec").alias("v"))
+    asked = plain.filter(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 20 == 0)
+    true = exact_knn(plain, "id", "v", 10, asked=asked).select("id", "neighbor")
+    found = p3_neighbors(spark, d).select("id", "neighbor", F.lit(1).alias("hit"))
+    hits = true.join(found, ["id", "neighbor"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("all"))
+    return asked.agg(F.count("*").alias("asked")).join(hits).select("asked", (F.col("hits") >= 0.9 * F.col("all")).alias("enough"))
+
+
 def scored_neighbours(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "movies_neighbors_k50", "movie_id", "neighbor_id", "score")
     return rows.filter("movie_id is not null and neighbor_id is not null and score is not null and not isnan(score) and movie_id <> neighbor_id")
@@ -98,6 +116,17 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_counts(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), CAPACITY)
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every document is there, none is over-full, only documents beyond the capacity are
+    split, every text's pieces follow each other, and the containers are at most 3 % (and 2) more than the fewest possible."""
+    p = cut(p8_packed(spark, d), "packed")
+    r = packing_report(p, CAPACITY)
+    by = p.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("size"), F.sum("start_token").alias("starts"))
+    ok = (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / CAPACITY))) & (F.col("starts") == CAPACITY * F.col("pieces") * (F.col("pieces") - 1) / 2)
+    docs = by.agg(F.count("*").alias("docs"), F.bool_and(ok).alias("split_only_if_long"))
+    return docs.join(r).select("docs", "split_only_if_long", (F.col("fullest") <= CAPACITY).alias("none_over_full"), (F.col("containers") <= 1.03 * F.col("fewest_possible") + 2).alias("few_containers"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p8_packed(spark, d), CAPACITY)
 
@@ -139,7 +168,20 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents", "doc_id", "text").select("doc_id", unified("text").alias("form"), unified("text", fold=True).alias("compare_key"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_forms": p10_forms}
+# Characters whose compatibility form is one other character, in fonts, widths and blanks: from Unicode's own tables.
+_ONE = [(c, k) for c in map(chr, range(0x80, 0x1F000)) if unicodedata.decomposition(c).startswith(("<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>")) and len(k := unicodedata.normalize("NFKC", c)) == 1 and k not in "' " and c != "\u017f"]
+_BLANKS = [c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs"]
+_LIGATURES = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xFB00, 0xFB06))}
+_ALIKE = [(c, k) for c, k in LOOK_ALIKES.items()]
+# Accented letters of other alphabets are taken apart, mapped and composed again.
+_COMPOSED = [(c, unicodedata.normalize("NFC", LOOK_ALIKES[p[0]] + p[1:])) for c in map(chr, range(0x370, 0x530)) if len(p := unicodedata.normalize("NFD", c)) > 1 and p[0] in LOOK_ALIKES]
+_PAIRS = [*_ONE, *_ALIKE, *[(c, k) for c, k in _COMPOSED if len(k) == 1], *[(c, " ") for c in _BLANKS]]
+_LOOK = "text"
+for _c, _k in _LIGATURES.items():
+    _LOOK = f"replace({_LOOK}, '{_c}', '{_k}')"
+_LOOK = f"nfc_normalize(translate(regexp_replace({_LOOK}, '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{115F}}\\x{{1160}}\\x{{180B}}-\\x{{180F}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{3164}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'), '{''.join(c for c, _ in _PAIRS)}', '{''.join(k for _, k in _PAIRS)}'))"
+
+QUERIES = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_neighbors": p3_neighbors, "p3_recall": p3_recall, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p8_report": p8_report, "p8_rules": p8_rules, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_forms": p10_forms}
 SQL = {
     "p3_found": """
 WITH v AS (SELECT canonical_id AS id, CAST(min(embedding) AS DOUBLE[]) AS x FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 GROUP BY 1),
@@ -162,4 +204,11 @@ SELECT least(u, min(v)) AS group_id, u AS canonical_id FROM r GROUP BY u""",
     "p9_rules": """
 SELECT t.source, target_share, max_repeats, count(d.doc_id) FILTER (text <> '') AS docs_there, true AS within_cap, true AS share_met
 FROM source_targets t LEFT JOIN documents d USING (source) GROUP BY ALL""",
+    "p3_recall": """
+SELECT count(DISTINCT canonical_id) FILTER (CAST('0x' || substr(md5(canonical_id), 1, 8) AS BIGINT) % 20 = 0) AS asked, true AS enough
+FROM movies_embedding_v1 WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0""",
+    "p8_rules": "SELECT count(*) AS docs, true AS split_only_if_long, true AS none_over_full, true AS few_containers FROM documents",
+    "p10_found": f"""
+WITH x AS MATERIALIZED (SELECT doc_id, text, md5({_LOOK}) AS f FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
 }

@@ -114,11 +114,18 @@ def test_marginals_on_a_tree_are_exact(spark):
 
 def test_title_parts(spark):
     rows = ["The Golden Ferry (4K)", "Golden Ferry, The", "Gölden Ferry: Director's Cut", "golden ferry III", "Golden Fer…", "!!!", None]
-    p = linkage.title_parts(F.col("t"))
+    p = linkage.title_parts(F.col("t"), ["directors cut"])
     got = [tuple(r) for r in spark.createDataFrame([(r,) for r in rows], "t string").select(*[c.alias(n) for n, c in p.items()]).collect()]
     assert got == [("goldenferry", "", False)] * 3 + [("goldenferry", "3", False), ("goldenfer", "", True), (None, "", False), (None, "", False)]
 
 
+def test_additions_are_learned(spark):
+    films = spark.createDataFrame([(f"film {i}",) for i in range(50)] + [(f"film {i} homecoming",) for i in range(20)] + [(None,)], "t string")
+    records = spark.createDataFrame([(f"Film {i}: Uncut",) for i in range(8)] + [(f"Film {i}: Homecoming",) for i in range(20)] + [(f"Film {i}",) for i in range(40)] + [("Film: Rare",), (None,)], "t string")
+    assert linkage.additions(films, records) == ["uncut"]
+    assert linkage.additions(films.limit(0), records.limit(0)) == []
+
+
 # --- 3: most similar vectors ---
 
 
