@@ -358,7 +358,7 @@ def test_factor_scores_in_blocks(spark):
     users = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "user int, u array<float>")
     items = spark.createDataFrame([(i, [float(i % 7), float(-i)]) for i in range(40)], "item int, v array<float>")
     whole = sorted(map(tuple, recommend.factor_scores(users, items, 5).collect()))
-    assert whole == sorted(map(tuple, recommend.factor_scores(users, items, 5, most_items=6).collect())) and len(whole) == 25
+    assert whole == sorted(map(tuple, recommend.factor_scores(users, items, 5, block_rows=6).collect())) and len(whole) == 25
 
 
 def test_npy_source(spark, tmp_path):
