@@ -118,8 +118,8 @@ def _keys(wide: bool) -> Column:
     dated = F.concat(ends, F.when(F.length("core") <= 9, ends_of(3)).otherwise(no_ends), F.when(F.length("core") <= 7, ends_of(2)).otherwise(no_ends))
     # A pair that lacks a year on either side: that side's rows meet all of the other side's.
     undated = lambda tag, those: F.when(those, F.transform(ends, lambda t: F.concat_ws("|", F.lit(tag), t))).otherwise(no_ends)
-    # And one end of a surname; short ones have short ends.
-    name_ends = F.flatten(F.transform(names, _surname_ends))
+    # And one end of a surname with one end of the first name; or the whole surname, whatever the first name is.
+    name_ends = F.array_distinct(F.flatten(F.transform(F.coalesce("people", no_ends), _name_ends)))
     tagged = lambda tag, values, with_: F.transform(F.coalesce(values, no_ends), lambda v: F.concat_ws("|", F.lit(tag), with_, v.cast("string")))
     each = lambda tag, numbers, texts: F.flatten(F.transform(F.coalesce(numbers, F.array().cast("array<int>")), lambda y: F.transform(texts, lambda t: F.concat_ws("|", F.lit(tag), y.cast("string"), t))))
     every = F.concat(
@@ -132,6 +132,7 @@ def _keys(wide: bool) -> Column:
         tagged("dg", names, F.when(F.size("genres") > 0, F.to_json("genres"))),
         each("dr", times, names),
         each("dy", years, name_ends),
+        each("dn", years, names),
     )
     hashed = F.array_distinct(F.transform(every, lambda k: F.xxhash64(k)))
     return F.when(F.col("core").isNotNull(), hashed).otherwise(F.array().cast("array<bigint>"))
@@ -143,6 +144,15 @@ def _surname_ends(s: Column) -> Column:
     return F.array(F.concat(F.lit("<"), F.substr(s, F.lit(1), n)), F.concat(F.lit(">"), F.substr(s, F.greatest(F.length(s) - n + 1, F.lit(1)), n)))
 
 
+def _name_ends(name: Column) -> Column:
+    """Ends of the surname, each with either end of the first name.
+
+    Two typing errors leave one of them or, if both are in the first name, the surname; an initial keeps its letter.
+    """
+    first = F.element_at(F.split(name, " "), 1)
+    return F.flatten(F.transform(_surname_ends(_surname(name)), lambda s: F.array(F.concat(s, F.lit("<"), F.substring(first, 1, 1)), F.concat(s, F.lit(">"), F.substring(first, -2, 2)))))
+
+
 def _bit(of: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(of, F.lit(64)).cast("int"))
 
@@ -153,35 +163,58 @@ def _letters(c: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def _grams(c: Column, part: int = 0, parts: int = 2) -> Column:
+    """Bits 64 * part to 64 * part + 63 of 64 * parts for the pairs of neighbouring letters. An edit removes two pairs at most
+    and adds two, so of texts d edits apart either has 2 d bits at most that the other lacks."""
+    padded = F.concat(F.lit("^"), c, F.lit("$"))
+    hashes = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.pmod(F.xxhash64(F.substr(padded, i, F.lit(2))), F.lit(64 * parts)))
+    return F.aggregate(F.filter(hashes, lambda h: F.floor(h / 64) == part), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(_bit(h)))
+
+
 def sketched(rows: DataFrame) -> DataFrame:
     """Rows with a number `n` and what `bound` needs of them, in a few integers (s_...)."""
     squeezed = F.regexp_replace(F.col("people")[0], " ", "")
     only = F.size("people") == 1
+    # Of all names; null where a single letter may stand for a name.
+    spelt = ~F.exists("people", lambda n: F.length(F.element_at(F.split(n, " "), 1)) <= 1)
+    names = F.aggregate(F.transform("people", lambda n: _grams(F.regexp_replace(n, " ", ""), parts=1)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     kinds = F.aggregate(F.transform("genres", lambda g: _bit(F.xxhash64(g))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     return rows.select(
-        "*", F.monotonically_increasing_id().alias("n"), F.length("core").alias("s_length"), _letters(F.col("core")).alias("s_letters"), F.hash("number").alias("s_number"),
+        "*", F.monotonically_increasing_id().alias("n"), F.length("core").alias("s_length"), _letters(F.col("core")).alias("s_letters"), *[_grams(F.col("core"), k).alias(f"s_grams{k}") for k in range(2)], F.hash("number").alias("s_number"),
         # 0: nobody is known, 1: one name, 2: several names or an initial, of which the letters tell too little.
         F.when(F.coalesce(F.size("people"), F.lit(0)) <= 0, 0).when(only & (F.length(F.element_at(F.split(F.col("people")[0], " "), 1)) > 1), 1).otherwise(2).alias("s_named"),
-        F.when(only, _letters(squeezed)).alias("s_name"), F.when(only, F.hash(_surname(F.col("people")[0]))).alias("s_surname"), F.when(only, F.length(squeezed)).alias("s_name_length"),
+        F.when(only, _letters(squeezed)).alias("s_name"), F.when(only, F.hash(_surname(F.col("people")[0]))).alias("s_surname"), F.when((F.size("people") > 0) & spelt, names).alias("s_name_grams"), F.when(only, F.length(squeezed)).alias("s_name_length"),
         F.when(F.size("genres") > 0, kinds).alias("s_genres"), F.hash("language").alias("s_language"),
     )
 
 
-SKETCH = ("n", "year", "runtime", "cut_off", "s_length", "s_letters", "s_number", "s_named", "s_name", "s_surname", "s_name_length", "s_genres", "s_language")
+SKETCH = ("n", "year", "runtime", "cut_off", "s_length", "s_letters", "s_grams0", "s_grams1", "s_number", "s_named", "s_name", "s_surname", "s_name_grams", "s_name_length", "s_genres", "s_language")
+
+
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is worked out once. A join with such a condition is not one method with its condition, which the
+    JVM would leave uncompiled for its length."""
+    return F.transform(F.array(value), use)[0]
 
 
 def bound(e, r) -> Column:
     """No less than the log odds of a pair, from the two rows' sketches: what cannot reach the floor is not compared."""
-    apart = F.greatest(F.abs(e("s_length") - r("s_length")), F.ceil(F.bit_count(e("s_letters").bitwiseXOR(r("s_letters"))) / 2))
-    title = F.when(r("cut_off"), 0.0).otherwise(_step(apart / F.greatest(e("s_length"), r("s_length")), (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"]))
+    differ = lambda name: F.bit_count(e(name).bitwiseXOR(r(name)))
+    apart = F.greatest(F.abs(e("s_length") - r("s_length")), F.ceil(differ("s_letters") / 2), F.ceil((differ("s_grams0") + differ("s_grams1")) / 4))
+    title = F.when(r("cut_off"), 0.0).otherwise(_once(apart / F.greatest(e("s_length"), r("s_length")), lambda x: _step(x, (0.0, 0.12, 0.22, 0.34), WEIGHTS["title"])))
     number = F.when((e("s_number") != r("s_number")) & ~r("cut_off"), WEIGHTS["number"]).otherwise(0.0)
-    off = F.greatest(F.abs(e("s_name_length") - r("s_name_length")), F.ceil(F.bit_count(e("s_name").bitwiseXOR(r("s_name"))) / 2))
+    off = F.greatest(F.abs(e("s_name_length") - r("s_name_length")), F.ceil(differ("s_name") / 2))
     exact, close, near, wrong = WEIGHTS["director"]
     # An initial agrees by its surname; otherwise so many letters differ.
-    initial = F.when((e("s_name").isNotNull()) & (r("s_name").isNotNull()) & (e("s_surname") != r("s_surname")), F.when(off <= 1, close).when(off <= 2, near).otherwise(wrong)).otherwise(exact)
-    director = F.when((e("s_named") == 0) | (r("s_named") == 0), 0.0).when((e("s_named") == 1) & (r("s_named") == 1), F.when(off == 0, exact).when(off <= 1, close).when(off <= 2, near).otherwise(wrong)).otherwise(initial)
-    year = _step(F.abs(e("year") - r("year")), (0, 1, 2), WEIGHTS["year"])
-    runtime = _step(F.abs(e("runtime") - r("runtime")), (1, 4, 8), WEIGHTS["runtime"])
+    letters = lambda best: _once(off, lambda x: F.when((x == 0) & F.lit(best == exact), exact).when(x <= 1, close).when(x <= 2, near).otherwise(wrong))
+    initial = F.when((e("s_name").isNotNull()) & (r("s_name").isNotNull()) & (e("s_surname") != r("s_surname")), letters(close)).otherwise(exact)
+    # One name of the other side's several has nearly all pairs of letters of a single name; of two single names either has.
+    lacks = lambda a, b: F.when(a("s_named") == 1, F.ceil(F.bit_count(a("s_name_grams").bitwiseAND(F.bitwise_not(b("s_name_grams")))) / 2))
+    lacking = F.greatest(lacks(e, r), lacks(r, e))
+    director = F.when((e("s_named") == 0) | (r("s_named") == 0), 0.0).when((e("s_named") == 1) & (r("s_named") == 1), letters(exact)).otherwise(initial)
+    director = F.least(director, _once(lacking, lambda x: F.when(x <= 0, exact).when(x <= 1, close).when(x <= 2, near).when(x > 2, wrong)))
+    year = _once(F.abs(e("year") - r("year")), lambda x: _step(x, (0, 1, 2), WEIGHTS["year"]))
+    runtime = _once(F.abs(e("runtime") - r("runtime")), lambda x: _step(x, (1, 4, 8), WEIGHTS["runtime"]))
     same, some, _, none = WEIGHTS["genres"]
     kinds = F.when(e("s_genres").isNull() | r("s_genres").isNull(), 0.0).when(e("s_genres") == r("s_genres"), same).when(e("s_genres").bitwiseAND(r("s_genres")) == 0, none).otherwise(some)
     language = F.when(e("s_language") == r("s_language"), WEIGHTS["language"][0]).otherwise(0.0)

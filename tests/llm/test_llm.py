@@ -89,6 +89,24 @@ def test_large_blocks_keep_every_pair(spark):
     assert {p for p in got if p[0][0] == "f"} <= candidate_pairs(spark, films, rts)[0]
 
 
+def test_bound_tells_texts_of_the_same_letters_apart(spark):
+    row = lambda key, core, people: (key, core, "", False, 2001, 100, people, [], "en")
+    films = [row("f", "marblegate", ["ann lee"]), row("g", "orchardoath", ["joran tesk"])]
+    rts = [row("same", "marblegate", ["ann lee"]), row("anagram", "eratgbmale", ["ann lee"]), row("one of two", "orchardoath", ["bo ray", "jorn tesk"]), row("of two others", "orchardoath", ["narjo kets", "sket raj"])]
+    _, e, r = candidate_pairs(spark, films, rts)
+    cross = e.select(F.struct("*").alias("e")).crossJoin(r.select(F.struct("*").alias("r")))
+    most = {(x.ek, x.rk): x.b for x in cross.select(F.col("e.key").alias("ek"), F.col("r.key").alias("rk"), linkage.bound(lambda c: F.col(f"e.{c}"), lambda c: F.col(f"r.{c}")).alias("b")).collect()}
+    assert most["f", "anagram"] <= most["f", "same"] - 4.5 and most["g", "of two others"] <= most["g", "one of two"] - 9
+
+
+def test_names_two_edits_apart_share_a_block_of_their_year(spark):
+    row = lambda key, core, name: (key, core, "", False, 2001, None, [name], [], None)
+    films = [row("f", "marblegate", "dorimel brimastos")]
+    rts = [row(n, "quietoath", n) for n in ("borimel brimastos", "dorimex brimastos", "dorimel krimastos", "dorimel brimastox", "borimel brimastox", "dorimexx brimastos", "d brimastos")] + [row("other", "quietoath", "karel brixx")]
+    kept = candidate_pairs(spark, films, rts, floor=None)[0]
+    assert {r for _, r in kept} == {x[0] for x in rts if x[0] != "other"}
+
+
 def exact_marginals(edges, repeat):
     """All sets of edges with one per record: weight exp(sum of odds) * product over entities of repeat ** -(n - 1)."""
     total, on = 0.0, defaultdict(float)
