@@ -391,3 +391,10 @@ def test_stream_equals_batch(spark):
     batch = telemetry.sessions(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
     assert [st.next_state(s, True) for s in ("healthy", "watching", "degraded", "recovering")] == ["watching", "degraded", "rolling_back", "degraded"]
+
+
+def test_sketches_are_apart_from_exact_distinct_counts(spark):
+    from skeinwork.plans import aggregation
+
+    plan = aggregation.a05_approximate_distinct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("approx_count_distinct") >= 4 and "Expand" not in plan
