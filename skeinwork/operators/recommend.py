@@ -61,7 +61,22 @@ def exact_knn(vectors: DataFrame, key: str, vector: str, k: int, block_rows: int
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def factor_scores(users: DataFrame, items: DataFrame, k: int, block_rows: int = 8192) -> DataFrame:
+def best_products(x: np.ndarray, y: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, name, score): for each row of x its k highest inner products with rows of y to nine digits, equal ones by name.
+
+    No row is sorted: what is above the k-th score, or below it by no more than rounding hides, is rounded and ranked.
+    """
+    s = x @ y.T
+    least = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else s.min(axis=1)
+    row, column = np.nonzero(s >= (least - 2e-9)[:, None])
+    score, name = np.round(s[row, column], 9), names[column]
+    order = np.lexsort((name, -score, row))
+    row, name, score = row[order], name[order], score[order]
+    first = np.searchsorted(row, row) + k > np.arange(len(row))
+    return row[first], name[first], score[first]
+
+
+def factor_scores(users: DataFrame, items: DataFrame, k: int, block_rows: int = 16384) -> DataFrame:
     """(user, item, score, rank): the k items of highest inner product for each user. users (user, u), items (item, v).
 
     Both sides are cut into blocks of about `block_rows` by hash; each pair of blocks is one matrix product on an executor
@@ -77,13 +92,11 @@ def factor_scores(users: DataFrame, items: DataFrame, k: int, block_rows: int =
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"user": [], "item": [], "score": []})
-        y = y.sort_values("item", kind="stable")
         matrix, names, out = np.stack(y["v"].to_numpy()).astype(np.float64), y["item"].to_numpy(), []
-        for at in range(0, len(x), 512):
-            part = x.iloc[at : at + 512]
-            s = np.round(np.stack(part["u"].to_numpy()).astype(np.float64) @ matrix.T, 9)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"user": np.repeat(part["user"].to_numpy(), top.shape[1]), "item": names[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()}))
+        for at in range(0, len(x), 256):
+            part = x.iloc[at : at + 256]
+            row, name, score = best_products(np.stack(part["u"].to_numpy()).astype(np.float64), matrix, names, k)
+            out.append(pd.DataFrame({"user": part["user"].to_numpy()[row], "item": name, "score": score}))
         return pd.concat(out)
 
     part = left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInPandas(run, f"user {kinds['user']}, item {kinds['item']}, score double")

@@ -361,6 +361,17 @@ def test_factor_scores_in_blocks(spark):
     assert whole == sorted(map(tuple, recommend.factor_scores(users, items, 5, block_rows=6).collect())) and len(whole) == 25
 
 
+def test_best_products_are_those_of_a_whole_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, y, names = rng.integers(-2, 3, (40, 3)).astype(float), rng.integers(-2, 3, (60, 3)) + rng.integers(0, 2, (60, 3)) * 1e-11, rng.permutation(60)
+    for k in (1, 7, 60, 90):
+        s = np.round(x @ y.T, 9)
+        row, name, score = recommend.best_products(x, y, names, k)
+        assert list(zip(row, name, score, strict=True)) == [(i, names[j], s[i, j]) for i in range(40) for j in sorted(range(60), key=lambda j: (-s[i, j], names[j]))[:k]]
+
+
 def test_npy_source(spark, tmp_path):
     import numpy as np
 
