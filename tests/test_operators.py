@@ -345,6 +345,14 @@ def test_every_season_is_simulated(spark):
     assert few == sorted(map(tuple, modelling.l33_simulated_seasons(spark, sf).collect())) and modelling.RUNS == 10_000
 
 
+def test_runs_of_a_season_are_spread_evenly(spark):
+    f = spark.createDataFrame([(m, m % 5, 5 + m % 3, 0.4, 0.3) for m in range(30)], "match_id int, home int, away int, p_home double, p_draw double")
+    whole = sports.simulate_season(f, 60, task_runs=10)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, sports.simulate_season(f, 60).collect()))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [__from" in plan and "ASC" in plan and "explode([true,false])" in plan
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
