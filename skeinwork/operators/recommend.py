@@ -5,16 +5,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinwork.functions import arrays
 from skeinwork.operators.ordered import first_rows
+from skeinwork.session import cut
 
 
 # --- building blocks -------------------------------------------------------------------------------------------------
@@ -139,6 +143,17 @@ def candidate_cap(history: Column) -> Column:
     return F.when(history <= 2, 200).when(history <= 10, 500).otherwise(1000)
 
 
+def most_diverse(x: np.ndarray, rel: np.ndarray, k: int, weight: float) -> list[int]:
+    """Greedy maximal marginal relevance over unit vectors x: the first row of highest value is chosen, k times."""
+    near, left, chosen = np.zeros(len(x)), np.ones(len(x), bool), []
+    for _ in range(min(k, len(x))):
+        i = int(np.where(left, weight * rel - (1 - weight) * near, -np.inf).argmax())
+        chosen.append(i)
+        left[i] = False
+        near = np.maximum(near, x @ x[i]) if len(chosen) > 1 else x @ x[i]
+    return chosen
+
+
 def mmr(candidates: DataFrame, by: str, item: str, score: str, vector: str, k: int, weight: float = 0.25, pool: int = 500) -> DataFrame:
     """(by, item, rank): greedy maximal marginal relevance, weight * score - (1 - weight) * highest cosine to what is chosen.
 
@@ -150,18 +165,122 @@ def mmr(candidates: DataFrame, by: str, item: str, score: str, vector: str, k: i
         pdf = pdf.sort_values([score, item], ascending=[False, True], kind="stable")
         x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        rel, near, left, chosen = pdf[score].to_numpy(float), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
-        for _ in range(min(k, len(pdf))):
-            i = int(np.where(left, weight * rel - (1 - weight) * near, -np.inf).argmax())
-            chosen.append(i)
-            left[i] = False
-            near = np.maximum(near, x @ x[i]) if len(chosen) > 1 else x @ x[i]
+        chosen = most_diverse(x, pdf[score].to_numpy(float), k, weight)
         return pd.DataFrame({by: pdf[by].iloc[0], item: pdf[item].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
 
     top = first_rows(candidates, [by], [F.desc(score), F.asc(item)], pool)
     return top.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {item} {kinds[item]}, rank int")
 
 
+def ordered_codes(values: DataFrame, column: str, partitions: int) -> DataFrame:
+    """(column, code): 0, 1, 2 ... for the distinct values in their order, numbered in ranges, so no task sorts them all.
+
+    `values` is written as it is numbered (session.cut), so that every later read sees the same codes.
+    """
+    place = F.monotonically_increasing_id()
+    ids = cut(values.select(column).dropna().distinct().repartitionByRange(partitions, column).sortWithinPartitions(column).withColumn("__at", place), "codes")
+    ids = ids.withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__at")
+    n = ids.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n"))
+    return ids.join(F.broadcast(n), "__range").select(column, (F.col("__in") + F.col("__before")).cast("int").alias("code"))
+
+
+def item_record(slots: int, boosts: int, dims: int, single: bool) -> np.dtype:
+    """One item of the file that `write_items` makes. No neighbour: -1; no votes and no vector: NaN."""
+    return np.dtype([("near", "<i4", (slots,)), ("score", "<f8", (slots,)), ("popular", "<f8"), ("boosts", "<f8", (boosts,)), ("x", "<f4" if single else "<f8", (dims,))])
+
+
+def write_items(items: DataFrame, path: str, record: np.dtype) -> int:
+    """Write items (code, near, score, popular, boosts, x) as records of fixed size into the file `path`, which all executors
+    can reach; each task writes its own items in their places. Returns their number.
+
+    near and score: the codes and likenesses of an item's neighbours, in arrays of the same length, or null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, n = os.open(path, os.O_WRONLY), 0
+        try:
+            for b in batches:
+                out = np.zeros(len(b), record)
+                out["near"], out["x"] = -1, np.nan
+                size = b.column("near").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(b)), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                out["near"][row, at] = b.column("near").flatten().to_numpy(zero_copy_only=False)
+                out["score"][row, at] = b.column("score").flatten().to_numpy(zero_copy_only=False)
+                out["popular"] = b.column("popular").fill_null(np.nan).to_numpy(zero_copy_only=False)
+                out["boosts"] = b.column("boosts").flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                known = b.column("x").is_valid().to_numpy(zero_copy_only=False)
+                out["x"][known] = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(known.sum(), -1)
+                for code, item in zip(b.column("code").to_pylist(), out, strict=True):
+                    os.pwrite(file, item.tobytes(), code * record.itemsize)
+                n += len(b)
+        finally:
+            os.close(file)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    n = items.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    if not n:
+        os.truncate(path, record.itemsize)  # an empty file cannot be mapped
+    return n
+
+
+def nine_digits(x: np.ndarray) -> np.ndarray:
+    """Rounded as Spark's `round(x, 9)`: halves of the shortest decimal form go away from zero."""
+    t = x * 1e9
+    with np.errstate(invalid="ignore"):
+        out = np.rint(t) / 1e9
+        doubtful = np.flatnonzero(np.isfinite(x) & ((np.abs(t - np.floor(t) - 0.5) < 1e-4) | (np.abs(t) > 1e11)))
+    for i in doubtful:
+        d = Decimal(repr(float(x[i])))
+        out[i] = float(d.quantize(Decimal("1e-9"), ROUND_HALF_UP)) if abs(d) < 10**15 else x[i]
+    return out
+
+
+def mmr_of_seeds(users: DataFrame, path: str, record: np.dtype, k: int, weight: float = 0.25, pool: int = 500) -> DataFrame:
+    """(user, code, rank): what `mmr` makes of the neighbours of each user's seeds, blended. users (user, alpha, seeds), seeds
+    being codes of items in the file of `write_items`.
+
+    Candidates, some hundred a user with a vector each, exist one user at a time and never travel: neighbours and vectors
+    are looked up in the file, which workers map into memory. Of equal scores the lower code comes first.
+    """
+    kind = users.schema["user"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = np.asarray(np.memmap(path, record, mode="r"))
+        for b in batches:
+            size = b.column("seeds").value_lengths().to_numpy(zero_copy_only=False)
+            seeds = np.split(b.column("seeds").flatten().to_numpy(zero_copy_only=False), np.cumsum(size)[:-1])
+            row, code, rank = [], [], []
+            for u, (alpha, own) in enumerate(zip(b.column("alpha").to_pylist(), seeds, strict=True)):
+                near = items["near"][own]
+                known = near >= 0
+                near, content = near[known], items["score"][own][known]
+                if not len(near):
+                    continue
+                order = np.argsort(near, kind="stable")
+                near = near[order]
+                first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+                item, content = near[first], np.maximum.reduceat(content[order], first)
+                popular, boosts = items["popular"][item], items["boosts"][item]
+                score = np.where(np.isnan(popular), content, alpha * content + (1 - alpha) * popular)
+                for j in range(boosts.shape[1]):
+                    score = score + boosts[:, j]
+                score = nine_digits(score)
+                top = np.argsort(-score, kind="stable")[:pool]
+                x = items["x"][item[top]]
+                known = ~np.isnan(x[:, 0])
+                top, x = top[known], x[known].astype(np.float64)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                chosen = item[top[most_diverse(x, score[top], k, weight)]] if len(top) else top
+                row.append(np.full(len(chosen), u))
+                code.append(chosen)
+                rank.append(np.arange(1, len(chosen) + 1))
+            row, code, rank = (np.concatenate(z or [np.zeros(0)]).astype(np.int32) for z in (row, code, rank))
+            yield pa.RecordBatch.from_arrays([b.column("user").take(pa.array(row)), pa.array(code), pa.array(rank)], ["user", "code", "rank"])
+
+    return users.select("user", "alpha", "seeds").mapInArrow(run, f"user {kind}, code int, rank int")
+
+
 def composite(families: Sequence[tuple[Column, float]], dims: int, seed: int = 42) -> Column:
     """One unit vector of `dims` numbers from several: each made unit length, weighted, all joined, turned by a random
     orthogonal matrix (QR of a Gaussian one; its first `dims` rows if there are fewer than the parts have together).

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 from skeinwork.functions import arrays
 from skeinwork.io import load
 from skeinwork.operators import ordered, recommend, textsearch
+from skeinwork.plans.aggregation import valid_ratings
 from skeinwork.plans.registry import Registry
 from skeinwork.plans.windows import _DEDUPED, one_rating
-from skeinwork.session import cut
+from skeinwork.session import cut, default_parallelism, drop_cut, shared_file
 
 query = Registry()
 
@@ -89,17 +90,26 @@ b AS (SELECT user, item, CASE WHEN popular IS NULL THEN content ELSE a * content
 r AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY round(score, 9) DESC, item) AS rank FROM b)"""
 
 
+def _films(spark, d, ratings):
+    """What the blend asks of a film: popularity, votes, year, link."""
+    g = ratings.groupBy(F.col("canonical_id").alias("item")).agg((F.avg("rating") / 5).alias("popular"), F.count("*").alias("votes"))
+    years = load(spark, d, "movies_master", "canonical_id", "year_norm").groupBy(F.col("canonical_id").alias("item")).agg(F.max("year_norm").alias("y"))
+    links = load(spark, d, "id_bridge", "canonical_id", "has_tmdb").filter("canonical_id is not null").groupBy(F.col("canonical_id").alias("item")).agg(F.bool_or("has_tmdb").alias("linked"))
+    return g.join(years, "item", "full").join(links, "item", "full")
+
+
+def _boosts():
+    recent = F.coalesce((F.greatest(F.least("y", F.lit(2030)), F.lit(1900)) - 1900) / 130.0, F.lit(0.5))
+    return [(F.least(F.col("votes") / 100, F.lit(1.0)), 0.05), (recent, 0.03), (F.col("linked").cast("double"), 0.02)]
+
+
 def _recs(spark, d, k=10, ratings=None):
     """The k best of every user (all if None): content and popularity, with small boosts for votes, recency and links."""
     ratings = _rated(spark, d) if ratings is None else ratings
     c = _seeds(ratings).join(_neighbours(spark, d), F.col("item") == F.col("movie_id")).groupBy("user", F.col("neighbor_id").alias("item")).agg(F.max("score").alias("content"))
-    g = ratings.groupBy(F.col("canonical_id").alias("item")).agg((F.avg("rating") / 5).alias("popular"), F.count("*").alias("votes"))
     h = ratings.groupBy(F.col("user_index").alias("user")).agg(F.count("*").alias("history"))
-    years = load(spark, d, "movies_master", "canonical_id", "year_norm").groupBy(F.col("canonical_id").alias("item")).agg(F.max("year_norm").alias("y"))
-    links = load(spark, d, "id_bridge", "canonical_id", "has_tmdb").filter("canonical_id is not null").groupBy(F.col("canonical_id").alias("item")).agg(F.bool_or("has_tmdb").alias("linked"))
-    recent = F.coalesce((F.greatest(F.least("y", F.lit(2030)), F.lit(1900)) - 1900) / 130.0, F.lit(0.5))
-    score = recommend.blended(F.col("content"), F.col("popular"), recommend.cohort_alpha(F.col("history")), [(F.least(F.col("votes") / 100, F.lit(1.0)), 0.05), (recent, 0.03), (F.col("linked").cast("double"), 0.02)])
-    s = c.join(g.join(years, "item", "full").join(links, "item", "full"), "item", "left").join(h, "user").select("user", "item", F.round(score, 9).alias("score"))
+    score = recommend.blended(F.col("content"), F.col("popular"), recommend.cohort_alpha(F.col("history")), _boosts())
+    s = c.join(_films(spark, d, ratings), "item", "left").join(h, "user").select("user", "item", F.round(score, 9).alias("score"))
     w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
     s = s.withColumn("rank", F.row_number().over(w))
     return s if k is None else s.filter(F.col("rank") <= k)
@@ -111,11 +121,40 @@ def l06_hybrid(spark, d):
     return _recs(spark, d).withColumn("score", F.round("score", 6))
 
 
+def _vectors(spark, d):
+    v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    return v.groupBy(F.col("canonical_id").alias("item")).agg(F.min("embedding").alias("embedding"))
+
+
+def _mmr_joined(spark, d):
+    """`l09_mmr` by joins: every candidate travels with its vector."""
+    return recommend.mmr(_recs(spark, d, 500).join(_vectors(spark, d), "item"), "user", "item", "score", "embedding", 20, pool=500)
+
+
 @query()
 def l09_mmr(spark, d):
-    """The hybrid list made diverse with the films' vectors."""
-    v = load(spark, d, "movies_embedding_v1", "canonical_id", "embedding").filter("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))").groupBy(F.col("canonical_id").alias("item")).agg(F.min("embedding").alias("embedding"))
-    return recommend.mmr(_recs(spark, d, 500).join(v, "item"), "user", "item", "score", "embedding", 20, pool=500)
+    """The hybrid list made diverse with the films' vectors. All that a film brings is written once into a file, from
+    which each user's candidates are made and re-ranked in one go; only seeds and results travel."""
+    path = shared_file(spark, "films")
+    if path is None:
+        return _mmr_joined(spark, d)
+    n = default_parallelism(spark)
+    one = valid_ratings(spark, d).repartition("user_index").groupBy("user_index", "canonical_id").agg(F.max(F.struct("rated_at", "rating")).alias("m")).select("user_index", "canonical_id", "m.rating", "m.rated_at")
+    user = Window.partitionBy("user_index")
+    place = F.row_number().over(user.orderBy(F.desc("rating"), F.desc("rated_at"), F.asc("canonical_id")))
+    rated = cut(one.withColumns({"place": place, "history": F.count("*").over(user)}).select("user_index", "canonical_id", "rating", "place", "history"), "rated")
+    near = cut(_neighbours(spark, d).select("movie_id", "neighbor_id", F.col("score").cast("double").alias("score")), "neighbours")
+    codes = recommend.ordered_codes(near.select(F.explode(F.array("movie_id", "neighbor_id")).alias("item")), "item", n)
+    lists = near.join(codes.withColumnRenamed("item", "neighbor_id"), "neighbor_id").groupBy(F.col("movie_id").alias("item")).agg(F.collect_list(F.struct("code", "score")).alias("near"))
+    v = _vectors(spark, d)
+    films = codes.join(_films(spark, d, rated), "item", "left").join(v, "item", "left").join(lists, "item", "left")
+    boosts = F.array(*[F.coalesce(c, F.lit(0.0)) * w for c, w in _boosts()])
+    record = recommend.item_record(50, 3, 64, dict(v.dtypes)["embedding"] == "array<float>")
+    recommend.write_items(films.select("code", F.col("near.code").alias("near"), F.col("near.score").alias("score"), "popular", boosts.alias("boosts"), F.col("embedding").alias("x")), path, record)
+    drop_cut(near)
+    seeds = rated.filter(F.col("place") <= SEEDS).join(codes.withColumnRenamed("item", "canonical_id"), "canonical_id").repartition(n, "user_index")
+    users = seeds.groupBy(F.col("user_index").alias("user")).agg(recommend.cohort_alpha(F.first("history")).alias("alpha"), F.collect_list("code").alias("seeds"))
+    return recommend.mmr_of_seeds(users, path, record, 20, pool=500).join(codes, "code").select("user", "item", "rank")
 
 
 @query(f"WITH u AS (SELECT DISTINCT user_index FROM {_DEDUPED}) SELECT count(*) AS users, min(i) AS low, max(i) AS high, count(DISTINCT i) AS indices FROM (SELECT row_number() OVER (ORDER BY user_index) - 1 AS i FROM u)")

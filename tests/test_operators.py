@@ -380,6 +380,53 @@ def test_best_products_are_those_of_a_whole_sort():
         assert list(zip(row, name, score, strict=True)) == [(i, names[j], s[i, j]) for i in range(40) for j in sorted(range(60), key=lambda j: (-s[i, j], names[j]))[:k]]
 
 
+def test_re_ranking_ships_no_vectors(spark):
+    from skeinwork.plans import recsys
+
+    sf = "/root/testdata/sf0.001"
+    got = recsys.l09_mmr(spark, sf)
+    assert "embedding" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, recsys._mmr_joined(spark, sf).collect()))
+
+
+def test_re_ranking_from_the_file(spark):
+    from skeinwork.session import shared_file
+
+    # Items 0 to 5; 3 has no vector, 4 neither votes nor neighbours, 1 and 2 are alike.
+    vectors = {0: [1.0, 0.0], 1: [0.0, 2.0], 2: [0.0, 2.0], 3: None, 4: [-1.0, 0.5], 5: [0.6, 0.8]}
+    popular = {0: 0.9, 1: 0.7, 2: 0.7, 3: 1.0, 4: None, 5: 0.0}
+    near = {0: ([1, 2, 3, 4], [0.5, 0.5, 0.9, 0.4]), 1: ([0, 5, 2], [0.8, 0.3, 0.6])}
+    rows = [(i, *near.get(i, (None, None)), popular[i], [0.01 * i], vectors[i]) for i in range(6)]
+    items = spark.createDataFrame(rows, "code int, near array<int>, score array<double>, popular double, boosts array<double>, x array<float>")
+    path, record = shared_file(spark, "test"), recommend.item_record(4, 1, 2, True)
+    assert recommend.write_items(items.repartition(3), path, record) == 6
+    users = spark.createDataFrame([("a", 0.4, [0, 1]), ("b", 0.8, [4]), ("c", 0.8, [0])], "user string, alpha double, seeds array<int>")
+    made = {}
+    for user, alpha, seeds in users.collect():
+        for s in seeds:
+            for item, content in zip(*near.get(s, ((), ())), strict=True):
+                made[user, item] = max(made.get((user, item), (0, 0))[0], content), alpha
+    blend = lambda item, content, a: round((content if popular[item] is None else a * content + (1 - a) * popular[item]) + 0.01 * item, 9)
+    for pool in (500, 2):
+        best = {u: sorted(((-blend(i, *made[v, i]), i) for v, i in made if v == u))[:pool] for u in "abc"}
+        joined = spark.createDataFrame([(u, i, -s, vectors[i]) for u in best for s, i in best[u] if vectors[i]], "user string, item int, score double, x array<float>")
+        want = sorted(map(tuple, recommend.mmr(joined, "user", "item", "score", "x", 3, pool=pool).collect()))
+        assert sorted(map(tuple, recommend.mmr_of_seeds(users, path, record, 3, pool=pool).collect())) == want and {u for u, *_ in want} == {"a", "c"}
+    assert recommend.write_items(items.limit(0), path := shared_file(spark, "test"), record) == 0
+    assert recommend.mmr_of_seeds(users.limit(0), path, record, 3).count() == 0
+
+
+def test_nine_digits_and_ordered_codes(spark):
+    import numpy as np
+
+    x = [0.1234567885, 0.1234567895, -0.1234567885, 1.0000000005, 0.3, 2.5e-10, 5e-10, 0.0, 123456.7890123455, 4.5e7 + 0.1234567, 1e20, float("inf"), float("-inf"), *np.random.default_rng(3).random(300), *(np.random.default_rng(4).integers(0, 10**7, 300) / 1e7 * 0.2)]
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 9)).collect()]
+    assert recommend.nine_digits(np.array(x)).tolist() == want
+    words = [f"{a}{b}" for a in "zäbA𝄞" for b in range(9)]
+    codes = recommend.ordered_codes(spark.createDataFrame([(w,) for w in [*words, *words, None]], "item string"), "item", 4)
+    assert sorted(map(tuple, codes.collect()), key=lambda r: r[1]) == [(w, i) for i, w in enumerate(sorted(words))]
+
+
 def test_npy_source(spark, tmp_path):
     import numpy as np
 
