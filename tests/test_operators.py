@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import arrays, dates, numeric, strings
 from skeinwork.functions.missing import present, uuid_key
-from skeinwork.operators import aggregates, ordered, quality, recommend, relational, sports
+from skeinwork.operators import aggregates, ordered, quality, recommend, relational, seasonruns, sports
 from skeinwork.operators.hotdeck import Fill, hot_deck, weighted_median
 from skeinwork.operators.orphans import Reference, orphan_counts, orphan_rows
 from skeinwork.operators.recordparse import TITLES, TOMATOES, Parser, money, parse_records, parse_text
@@ -353,6 +353,28 @@ def test_runs_of_a_season_are_spread_evenly(spark):
     assert "RepartitionByExpression [__from" in plan and "ASC" in plan and "explode([true,false])" in plan
 
 
+ODD_FIXTURES = [("a", 1, "x", "y", 0.4, 0.3), ("a", 2, "y", "z", 0.2, 0.1), ("a", 3, "x", "z", None, 0.5), ("a", 4, "z", None, 0.1, None), ("a", None, "é" * 40, "x", 0.5, 0.2), ("a", 5, "z", "y", float("nan"), 0.1), ("a", 6, "y", "x", 0.3, float("nan")), ("a", -7, "x", "x", 0.3, 0.3), (None, 8, "x", "y", 0.0, 1.0), (None, 9, "w", "x", 1.0, 0.0), ("b", 10**15, "q", "r", 0.5, 0.5)]
+ODD_KINDS = "season string, match_id long, home string, away string, p_home double, p_draw double"
+
+
+@pytest.mark.parametrize("by", [["season"], []])
+@pytest.mark.parametrize("rows", [ODD_FIXTURES, []])
+def test_runs_of_a_season_in_one_task(spark, by, rows):
+    f = spark.createDataFrame(rows, ODD_KINDS)
+    same = lambda a, b: a.dtypes == b.dtypes and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    slow = sports.simulate_season(f, 23, by)
+    assert same(seasonruns.simulate_seasons(f, 23, by, block=7, at_once=3), slow)
+    named = f.withColumn("match_id", F.concat(F.lit("ü"), F.repeat(F.col("match_id").cast("string"), 20)))
+    assert same(seasonruns.simulate_seasons(named, 12, by), sports.simulate_season(named, 12, by))
+
+
+def test_all_seasons_shuffle_no_draws(spark):
+    from skeinwork.plans import modelling
+
+    plan = modelling.l33_all_seasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "run#" in line] and "sha2(" not in plan
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
