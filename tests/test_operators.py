@@ -364,10 +364,16 @@ def test_runs_of_a_season_in_one_task(spark, by, rows):
     same = lambda a, b: a.dtypes == b.dtypes and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     slow = sports.simulate_season(f, 23, by)
     assert same(seasonruns.simulate_seasons(f, 23, by, block=7, at_once=3), slow)
+    assert same(seasonruns.seasons_summary(f, 23, 2, by, block=7), sports.simulation_summary(slow, 2, by))
     named = f.withColumn("match_id", F.concat(F.lit("ü"), F.repeat(F.col("match_id").cast("string"), 20)))
     assert same(seasonruns.simulate_seasons(named, 12, by), sports.simulate_season(named, 12, by))
 
 
+def test_places_of_many_teams(spark):
+    f = spark.range(600).selectExpr("id AS match_id", "id % 300 AS home", "(id * 7 + 1) % 301 AS away", "0.4D AS p_home", "0.3D AS p_draw")
+    assert sorted(map(tuple, seasonruns.seasons_summary(f, 11, block=4).collect())) == sorted(map(tuple, sports.simulation_summary(sports.simulate_season(f, 11)).collect()))
+
+
 def test_all_seasons_shuffle_no_draws(spark):
     from skeinwork.plans import modelling
 
@@ -375,6 +381,13 @@ def test_all_seasons_shuffle_no_draws(spark):
     assert not [line for line in plan.splitlines() if "Aggregate" in line and "run#" in line] and "sha2(" not in plan
 
 
+def test_summary_of_all_seasons_ranks_where_it_draws(spark):
+    from skeinwork.plans import modelling
+
+    plan = modelling.l34_all_seasons_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "sha2(" not in plan
+
+
 def test_quality_gates(spark):
     df = spark.createDataFrame([(1, 0.5, None), (1, float("nan"), "a")], "id int, p double, s string")
     got = {r.check: r.status for r in quality.run_checks(df, [quality.unique("id"), quality.finite("p"), quality.completeness("s", 0.5), quality.null_rate("s")]).collect()}
